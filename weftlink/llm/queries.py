@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secrets
+from . import fingerprints, mixing, packing, quality_rules, secrets
 from .common import documents
 from .oracles import SQL
 
@@ -17,15 +17,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.contract(documents(spark, sf_dir))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.contract(documents(spark, sf_dir))
 
 
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.contract(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_secret_scans, op9_quality_rules)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.contract(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_document_fingerprints, op6_secret_scans, op7_mixing_sources, op9_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

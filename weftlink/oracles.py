@@ -165,8 +165,8 @@ def _rules(which: tuple[str, ...]) -> str:
     rules = _list(which)
     return _er(f""", hits AS ({hits}),
     by_source AS (SELECT rule, h.source, count(g.s1_id) AS tp, count(*) - count(g.s1_id) AS fp FROM hits h LEFT JOIN gt g ON g.s1_id = h.s1_id AND g.secondary_id = h.secondary_id GROUP BY ALL),
-    grid AS (SELECT r.rule, s.source, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, (SELECT count(*) FROM gt WHERE gt.source = s.source) AS true FROM (SELECT unnest({rules}) AS rule) r, (SELECT unnest(['S2', 'S3']) AS source) s LEFT JOIN by_source b ON b.rule = r.rule AND b.source = s.source),
-    total AS (SELECT rule, coalesce(source, 'Overall') AS source, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, (sum(true) - sum(tp))::BIGINT AS fn FROM grid GROUP BY GROUPING SETS ((rule, source), (rule)))
+    grid AS (SELECT r.rule, s.source, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, (SELECT count(*) FROM gt WHERE gt.source = s.source) AS n_true FROM (SELECT unnest({rules}) AS rule) r, (SELECT unnest(['S2', 'S3']) AS source) s LEFT JOIN by_source b ON b.rule = r.rule AND b.source = s.source),
+    total AS (SELECT rule, coalesce(source, 'Overall') AS source, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, (sum(n_true) - sum(tp))::BIGINT AS fn FROM grid GROUP BY GROUPING SETS ((rule, source), (rule)))
     SELECT rule, source, tp, fp, fn, round_even(p::DOUBLE, 6) AS precision, round_even(r::DOUBLE, 6) AS recall, round_even((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END)::DOUBLE, 6) AS f1 FROM ({_metrics("total", "rule, source")})""")
 
 
@@ -304,8 +304,8 @@ SQL: dict[str, str] = {
     "audit_leakage": _sp("SELECT s1_id, string_agg(DISTINCT sn, ',' ORDER BY sn) AS splits FROM (SELECT s1_id, CASE WHEN source = 'S3' THEN 'holdout' ELSE split END AS sn FROM sp) GROUP BY 1 HAVING count(DISTINCT sn) > 1"),
     "label_distribution": _sp("SELECT split, label, count(*) AS n FROM sp GROUP BY ALL"),
     "shard_assignment": _sp("SELECT s1_id, secondary_id, split, floor((row_number() OVER (PARTITION BY split ORDER BY substr(md5(s1_id), 1, 2), s1_id, secondary_id) - 1) / 100)::INT AS shard FROM sp"),
-    "pilot_prefilter": _er(""", some AS (SELECT * FROM s1 WHERE key % 4 = 0), f AS (SELECT b.*, b.entity_id IN (SELECT g.secondary_id FROM gt g JOIN some ON some.entity_id = g.s1_id) AS is_true, b.country_norm IN (SELECT country_norm FROM some) AS in_country,
-      coalesce(b.name_norm IN (SELECT name_norm FROM some), false) AS in_name, length(b.name_norm) >= 5 AND substr(b.name_norm, 1, 5) IN (SELECT substr(name_norm, 1, 5) FROM some WHERE length(name_norm) >= 5) AS in_prefix FROM sec b WHERE src = 'S2'),
+    "pilot_prefilter": _er(""", few AS (SELECT * FROM s1 WHERE key % 4 = 0), f AS (SELECT b.*, b.entity_id IN (SELECT g.secondary_id FROM gt g JOIN few ON few.entity_id = g.s1_id) AS is_true, b.country_norm IN (SELECT country_norm FROM few) AS in_country,
+      coalesce(b.name_norm IN (SELECT name_norm FROM few), false) AS in_name, length(b.name_norm) >= 5 AND substr(b.name_norm, 1, 5) IN (SELECT substr(name_norm, 1, 5) FROM few WHERE length(name_norm) >= 5) AS in_prefix FROM sec b WHERE src = 'S2'),
     o AS (SELECT *, NOT is_true AND in_country AND NOT in_name AS is_open FROM f),
     p AS (SELECT *, is_open AND in_prefix AND row_number() OVER (PARTITION BY substr(name_norm, 1, 5), is_open AND in_prefix ORDER BY entity_id) <= 5 AS by_prefix FROM o),
     c AS (SELECT *, is_open AND NOT by_prefix AND row_number() OVER (PARTITION BY country_norm, is_open AND NOT by_prefix ORDER BY entity_id) <= 20 AS by_country FROM p),

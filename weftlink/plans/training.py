@@ -16,6 +16,7 @@ from ..operators.ground_truth import edges as edges_of
 from ..operators.ground_truth import restricted
 from ..schema import SHARD_COLUMNS
 from ..sources import readers, writers
+from ..sources.scratch import written
 from . import report
 
 
@@ -42,9 +43,11 @@ def feature_rows(pairs_: DataFrame, s1: DataFrame, sources: dict[str, DataFrame]
 
 
 def training_rows(s1: DataFrame, sources: dict[str, DataFrame], edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Feature rows with ``split`` and ``difficulty``, lazily, from raw records."""
-    left, right = pairs.one_record_each(normalized(s1)), {k: normalized(v) for k, v in sources.items()}
-    labelled = pairs.labelled_pairs(left, right, edges, settings.neg_ratio, settings.seed, settings.singletons)
+    """Feature rows with ``split`` and ``difficulty`` from raw records."""
+    # Normalised records and chosen pairs are used by many joins: each is made once, in the shared folder.
+    left = written(pairs.one_record_each(normalized(s1)), "s1")
+    right = {k: written(pairs.one_record_each(normalized(v)), "secondary") for k, v in sources.items()}
+    labelled = written(pairs.labelled_pairs(left, right, edges, settings.neg_ratio, settings.seed, settings.singletons), "pairs")
     split = splits.grouped_split(left.select(F.col("entity_id").alias("s1_id")), settings.train, settings.val, settings.holdout, settings.seed or 0)
     return feature_rows(splits.with_split(labelled, split), left, right, settings.weights)
 

@@ -182,7 +182,6 @@ def spans_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one); n_chars follows the text."""
-    columns = docs.columns
     merged = F.aggregate(
         "found",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -192,10 +191,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    out = scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, merged).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    # The row's own columns travel in a struct, so that no name of theirs can clash with those made here.
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = scan(rows, rules).withColumn("clean", F.when(F.size("found") > 0, merged).otherwise(F.col("text")))
+    changed = {"text": F.col("clean"), "n_chars": F.when(F.size("found") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def contract(docs: DataFrame) -> DataFrame:

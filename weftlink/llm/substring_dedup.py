@@ -1,6 +1,6 @@
 """Substring dedup over sliding runs of sentences.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` (with closing quotes or brackets) before white space, and at
+A text is cut into sentences: after ``.``, ``!`` or ``?`` (and further ASCII punctuation) before white space, and at
 line ends. Every run of ``run`` consecutive sentences with at least ``least_words`` words in total is hashed (96 bits,
 over its words with A-Z read as a-z, so that layout doesn't matter). Hashes are joined globally; the first occurrence
 of a run, by doc_id and then place, stays, and every sentence that a later occurrence covers is removed. Runs of few
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .kernels import mix, word_hashes
 
-RUN, LEAST_WORDS = 3, 20
-_END = re.compile(rb"(?:[.!?][\"')\]]*(?=[\x20\x09-\x0d])|\n)[\x20\x09-\x0d]*")
+RUN, LEAST_WORDS = 2, 25
+_END = re.compile(rb"(?:[.!?][!-/:-@\[-`{-~]*(?=[\x20\x09-\x0d])|\n)[\x20\x09-\x0d]*")
 _SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -150,13 +150,13 @@ def deduplicated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS
     """``docs`` with the covered sentences of non-first runs removed; n_chars follows."""
     columns, schema = docs.columns, docs.schema
     spans = removed_spans(docs, run, least_words).groupBy("row").agg(F.collect_list(F.struct("first_sentence", "n_sentences")).alias("_spans"))
-    rows = numbered(docs).withColumnRenamed("row", "_row")
-    joined = rows.join(spans.withColumnRenamed("row", "_row"), "_row", "left")
+    rows = docs.withColumn("_weftlink_row", F.monotonically_increasing_id())  # numbered as above: the scan is the same
+    joined = rows.join(spans.select(F.col("row").alias("_weftlink_row"), F.col("_spans").alias("_weftlink_spans")), "_weftlink_row", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans_ in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist()):
+            for text, spans_ in zip(batch["text"].to_pylist(), batch["_weftlink_spans"].to_pylist()):
                 body = text.encode()
                 bounds = sentence_bounds(body)
                 keep = np.ones(len(bounds) - 1, dtype=bool)
@@ -166,10 +166,10 @@ def deduplicated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS
             arrays = [pa.array(out, pa.string()) if c == "text" else batch[c] for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    changed = joined.where("_spans IS NOT NULL").drop("_row").select(*columns, "_spans").mapInArrow(cut, schema)
+    changed = joined.where("_weftlink_spans IS NOT NULL").select(*columns, "_weftlink_spans").mapInArrow(cut, schema)
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast("long"))
-    return joined.where("_spans IS NULL").select(*columns).unionByName(changed.select(*columns))
+    return joined.where("_weftlink_spans IS NULL").select(*columns).unionByName(changed.select(*columns))
 
 
 def contract(docs: DataFrame) -> DataFrame:

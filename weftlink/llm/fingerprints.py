@@ -78,17 +78,18 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 def contract(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text (the tail replaced from the next document)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).alias("key"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sizes = rows.groupBy("key").agg(F.max(F.length("text")).alias("n"))
     ring = following(sizes, "key")
     need = sizes.select(F.col("key").alias("prev_key"), F.floor(F.col("n") / 3).cast("int").alias("need"))
     ring = written(ring.join(need, "prev_key"), "fingerprint-ring")  # (key, next_key, prev_key, need)
-    # The text is shuffled once, by key; what the previous document needs of it is sent on to that one.
+    # The text is shuffled once, by key (both uses read the same columns, so the exchange is reused); what the previous
+    # document needs of it is sent on to that one.
     placed = rows.join(ring, "key")
     heads = placed.groupBy(F.col("prev_key").alias("key")).agg(F.min_by(F.expr("substring(text, 1, need)"), "row").alias("head"))
     n, tail = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    m = placed.select("key", "row", "doc_id", "next_key", "text").join(heads, "key").select(
-        "key", "row", "doc_id", "next_key", n.cast("long").alias("n_chars"), "text",
+    m = placed.select("key", "row", "next_key", "text").join(heads, "key").select(
+        "key", "row", "next_key", n.cast("long").alias("n_chars"), "text",
         F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("head"), F.lit(1), tail)).alias("edited"), (n - tail).alias("common"),
     )
     # Words that end before the cut belong to both texts and are counted together.
@@ -103,11 +104,11 @@ def contract(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     counts = terms.groupBy("key", "row", "term").agg(F.sum("o").alias("o"), F.sum("e").alias("e"))
     sig = signatures(counts, ["key", "row"], ["o", "e"], samples)
     zero = F.array_repeat(F.lit(0).cast("long"), samples)
-    facts = m.select("key", "row", "doc_id", "next_key", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
+    facts = m.select("key", "row", "next_key", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
     both = facts.join(sig, ["key", "row"], "left").withColumns({c: F.coalesce(c, zero) for c in ("o", "e")})
     both = written(both, "fingerprints")
     after = both.groupBy(F.col("key").alias("next_key")).agg(F.min_by("o", "row").alias("after"))
     return both.join(after, "next_key", "left").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("o")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
+        F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("o")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("o"), F.col("e"), samples).alias("near_edited"), likeness(F.col("o"), F.col("after"), samples).alias("near_next"),
     )

@@ -28,7 +28,7 @@ from .kernels import mix, word_hashes
 SIZES, BITS, TOKENS = (1, 2, 3), 12, 64
 FIT_ROWS, STEPS, RIDGE = 6000, 300, 1e-3
 #: Documents are selected whose grade is at least GRADE with a probability of at least TAIL.
-GRADE, TAIL = 1, 0.5
+GRADE, TAIL = 1, 0.25
 _WIDTH = (1 << BITS) + TOKENS
 
 

@@ -28,3 +28,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, label), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of the scratch folder (results that were not written elsewhere become unreadable)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/weftlink")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,7 +18,7 @@ from .operators import audit, blocking, evaluate, features, ground_truth, pairs,
 from .plans import baseline, training
 from .schema import SOURCE
 from .sources import readers, writers
-from .sources.scratch import scratch_path
+from .sources.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,8 +56,8 @@ def normal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """(S1, {S2, S3}, both secondary sources), normalised."""
-    df = normal(spark, d)
+    """(S1, {S2, S3}, both secondary sources), normalised once."""
+    df = written(normal(spark, d), "records")
     return df.where("src = 'S1'"), {s: df.where(F.col("src") == s) for s in ("S2", "S3")}, df.where("src <> 'S1'")
 
 

@@ -252,6 +252,8 @@ _valid_v = _valid("v")
 SQL: dict[str, str] = {
     "scan_delimited": _raw("SELECT entity_id, business_name, business_address, country FROM raw"),
     "scan_pruned": _raw("SELECT entity_id, country FROM raw"),
+    "scan_head": _raw("SELECT entity_id, business_name, business_address, country FROM raw ORDER BY entity_id LIMIT 50"),
+    "stream_candidates": _er("SELECT a.entity_id AS s1_id, b.entity_id AS secondary_id FROM s1 a JOIN sec b USING (country_norm, name_norm)"),
     "scan_ground_truth": _er("SELECT s1_id, source, secondary_id FROM gt"),
     "write_shards": _sp("SELECT split, shard, count(*) AS rows FROM (SELECT split, floor((row_number() OVER (PARTITION BY split) - 1) / 100)::INT AS shard FROM sp) GROUP BY ALL"),
     "normalize_name": _er("SELECT entity_id, name_norm FROM er"),
@@ -298,6 +300,7 @@ SQL: dict[str, str] = {
     SELECT s2_positives, s3_positives, s2_positives + s3_positives AS total_positives, exact AS exact_name_negatives, total AS total_negatives, CASE WHEN s2_positives + s3_positives > 0 THEN round_even(total / (s2_positives + s3_positives), 4) ELSE 0 END AS negative_ratio
     FROM (SELECT count(*) FILTER (WHERE source = 'S2') AS s2_positives, count(*) FILTER (WHERE source = 'S3') AS s3_positives FROM gt), neg, ex"""),
     "grouped_split": _sp("SELECT s1_id, split FROM splits"),
+    "hashed_split": _er("SELECT s1_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.15 THEN 'val' ELSE 'holdout' END AS split FROM (SELECT entity_id AS s1_id, ('0x' || substr(md5('42:' || entity_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM s1)"),
     "audit_duplicates": _sp("SELECT split, s1_id, secondary_id, 2::BIGINT AS n FROM sp WHERE label = 1"),
     "audit_mislabeled": _sp("SELECT s1_id, secondary_id, split FROM sp WHERE label = 1"),
     "audit_source_mismatch": _sp("SELECT s1_id, secondary_id, 'S2' AS source FROM sp WHERE source <> 'S2'"),

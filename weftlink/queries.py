@@ -19,6 +19,7 @@ from .plans import baseline, training
 from .schema import SOURCE
 from .sources import readers, writers
 from .sources.scratch import scratch_path, written
+from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +91,21 @@ def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_delimited(spark, path, columns=("entity_id", "country"), pattern="*.csv")
 
 
+@query
+def scan_head(spark: SparkSession, d: str) -> DataFrame:
+    return readers.head(records(spark, d).select(*SOURCE.names), 50)
+
+
+@query
+def stream_candidates(spark: SparkSession, d: str) -> DataFrame:
+    s1, _, sec = sides(spark, d)
+    path, out, mark = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "mark"))
+    sec.select(*SOURCE.names).write.option("sep", "\t").option("header", True).csv(path)
+    stream = incremental.record_stream(spark, path, pattern="*.csv")
+    incremental.append_candidates(stream, s1, out, mark).awaitTermination()
+    return spark.read.parquet(out).select("s1_id", "secondary_id")
+
+
 @query
 def scan_ground_truth(spark: SparkSession, d: str) -> DataFrame:
     s1, _, sec = sides(spark, d)
@@ -358,6 +374,11 @@ def _split_pairs(spark: SparkSession, d: str) -> DataFrame:
     return splits.with_split(labelled, splits.grouped_split(s1.select(F.col("entity_id").alias("s1_id"))))
 
 
+@query
+def hashed_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.hashed_split(records(spark, d).where("src = 'S1'").select(F.col("entity_id").alias("s1_id")))
+
+
 @query
 def audit_duplicates(spark: SparkSession, d: str) -> DataFrame:
     df = _split_pairs(spark, d)

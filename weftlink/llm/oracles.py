@@ -38,7 +38,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _spans_sql(rule: sec.Rule, place: int) -> str:
-    p = rule.java.replace("'", "''")
+    p = rule.pattern.replace("'", "''")
     return rf"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind,
     (coalesce(list_sum(list_transform(g[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(m[i]) AS n, length(k[i]) AS kn
     FROM (SELECT doc_id, m, g, k, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, regexp_split_to_array(text, '{p}') AS g,

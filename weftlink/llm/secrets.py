@@ -32,10 +32,6 @@ class Rule:
     group: int = 0
     least: int = 0  #: code points that the group must have; shorter matches are dropped
 
-    @property
-    def java(self) -> str:
-        return self.pattern
-
 
 #: The three base rules.
 BASE = (
@@ -137,11 +133,11 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
     """Sorted-by-place structs (start, place, end) of one rule: gaps and matches alternate, their lengths add up."""
-    whole = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kind = "array<struct<start:int,place:int,end:int>>"
 
     def located(m: Column) -> Column:
-        long_enough = F.transform(F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
+        long_enough = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
 
         def place_all(gaps: Column) -> Column:
             steps = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))
@@ -156,7 +152,7 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
 
             return let(steps, spans)
 
-        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(F.split(text, rule.java), place_all))
+        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(F.split(text, rule.pattern), place_all))
 
     return let(whole, located).cast(kind)
 

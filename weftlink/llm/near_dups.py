@@ -8,7 +8,7 @@ linked; groups are the connected components.
 2. Every class has 160 MinHash samples. 32 bands of five are its buckets; at a similarity of 0.8 a pair misses all of
    them once in 300,000. Folding the samples into a 512-bit parity map gives its odd sketch: the population count of
    two sketches' XOR estimates their similarity.
-3. Rounds of pivots: in each bucket with members of more than one group a pivot is drawn, and each member of another
+3. Rounds of pivots: in each bucket with members of more than one group a pivot is chosen, and each member of another
    group is compared with one of its pivots, first by sketch, then by full sets. Links merge groups. A large group of
    near copies becomes one in a few rounds, with a number of pairs in proportion to its members.
 4. What is left, members of one bucket but of different groups, is compared by sketches alone, bucket by bucket, in
@@ -143,34 +143,47 @@ def _open(members: DataFrame) -> DataFrame:
     return members.drop("n").join(mixed, "bucket")
 
 
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+def _pivots(members: DataFrame, used: DataFrame | None) -> DataFrame:
+    """``(bucket, pivot, group)``: of each bucket the member that meets most others in all its buckets (in a group of
+    near copies that is the one most alike to all), none that was a pivot before."""
+    meets = members.groupBy("key").agg(F.sum("n").alias("meets"))
+    fresh = members if used is None else members.join(used, F.col("key") == F.col("pivot"), "left_anti")
+    best = fresh.join(meets, "key").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("key").alias("h"), F.col("key").alias("pivot"), F.col("label").alias("group"))).alias("p"))
+    return best.select("bucket", "p.pivot", "p.group")
+
+
+def _pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """One pair for each member that shares a bucket with a pivot of another group: with the pivot it meets most often."""
-    drawn = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("pivot"), F.col("label").alias("group"))).alias("p"))
-    met = members.join(drawn, "bucket").where("label <> p.group").groupBy("key", F.col("p.pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
+    met = members.join(pivots, "bucket").where("label <> group").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("times"))
     best = met.groupBy("key").agg(F.max(F.struct("times", "pivot")).alias("m"))
     return best.select(F.least("key", "m.pivot").alias("a"), F.greatest("key", "m.pivot").alias("b")).distinct()
 
 
 def _cross_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs of one bucket and two groups whose sketches are near, found in blocks of a bounded size."""
+    """Pairs of one bucket and two groups whose sketches are near, found in blocks of a bounded size.
+
+    A pair that shares several buckets is given by the first of their bands alone.
+    """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         same, side = group["p"].iloc[0] == group["q"].iloc[0], group["block"].to_numpy() == group["p"].iloc[0]
         key, label = group["key"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
-        sketch = np.stack(group["sketch"].to_numpy()).astype(np.int64) if len(group) else np.zeros((0, 8), np.int64)
+        sketch, bands = (np.stack(group[c].to_numpy()).astype(np.int64) for c in ("sketch", "bands"))
+        band = np.argmax(bands[0] == group["bucket"].iloc[0])
         left = np.flatnonzero(side)
         right = left if same else np.flatnonzero(~side)
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for i in left:
-            flipped = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            ok = right[(flipped <= most) & (label[right] != label[i]) & ((key[right] > key[i]) if same else True)]
-            found.append(np.stack([np.minimum(key[i], key[ok]), np.maximum(key[i], key[ok])], axis=1) if len(ok) else np.zeros((0, 2), np.int64))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            other = right[(label[right] != label[i]) & ((key[right] > key[i]) if same else True)]
+            near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
+            ok = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+            found.append(np.stack([np.minimum(key[i], key[ok]), np.maximum(key[i], key[ok])], axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("key", "sketch"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "label", "sketch")
+    dealt = dealt.join(classes.select("key", "sketch", "bands"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "label", "sketch", "bands")
     return dealt.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -187,10 +200,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thresho
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text").join(wanted, "key", "left_semi")
     full = written(text, "near-texts")
 
-    links, labels = None, None
-    for turn in range(PIVOT_ROUNDS):
+    links, labels, used = None, None, None
+    for _ in range(PIVOT_ROUNDS):
         open_members = written(_open(_labelled(members.select("bucket", "key"), labels)), "near-open")
-        pairs = written(_near_sketches(_pivot_pairs(open_members, turn), classes, most), "near-pivots")
+        pivots = written(_pivots(open_members, used), "near-pivots")
+        used = pivots.select("pivot").distinct() if used is None else used.union(pivots.select("pivot")).distinct()
+        pairs = written(_near_sketches(_pivot_pairs(open_members, pivots), classes, most), "near-pairs")
         new = written(verified(pairs, full, shingle_words, threshold), "near-links")
         if new.isEmpty():
             break

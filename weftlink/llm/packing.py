@@ -17,6 +17,7 @@ that the operator doesn't use are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,21 +35,37 @@ CAPACITY, END_ID = 4096, 1
 FAN, MOST_ITEMS = 8, 200_000
 #: Share of the capacity from which a sequence is emitted, by round; the last one holds for later rounds too.
 FULL = (0.998, 0.99, 0.97)
-#: Words and pieces of words whose ids a worker keeps (the caches are emptied when they are full).
-CACHED = 400_000
+#: Words and pieces of words whose ids a worker keeps (in two generations: the older one goes when the newer is full).
+CACHED = 300_000
 
 # What the tokenizer file's pattern does to lower-case words of Latin letters; other words go to it whole.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _BREAKS = re.compile("[\x20\x09-\x0d]+")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others after 255.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_STANDS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+class _Cache:
+    """A dictionary of bounded size that keeps what was used lately."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order;
-    words are looked up, and only unknown pieces of words reach the tokenizer.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order; words
+    are looked up, then their pieces, and only unknown pieces reach the tokenizer's vocabulary. Words with characters
+    beyond Latin letters go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,39 +73,38 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-
-    def _exact(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._model = self._tokenizer.model
+        self._words, self._pieces = _Cache(CACHED), _Cache(CACHED)
 
     def _piece(self, piece: str) -> bytes:
-        out = self._pieces.get(piece)
+        out = self._pieces.new.get(piece)
         if out is None:
-            if len(self._pieces) >= CACHED:
-                self._pieces.clear()
-            out = self._pieces[piece] = self._exact(piece)
+            out = self._pieces.old.get(piece)
+            if out is None:
+                shown = piece if piece.isascii() else "".join(map(_STANDS.__getitem__, piece.encode()))
+                ids = [token.id for token in self._model.tokenize(shown)]
+                out = struct.pack(f"<{len(ids)}I", *ids)
+            self._pieces.put(piece, out)
         return out
 
     def _word(self, word: str) -> bytes:
-        out = self._words.get(word)
+        out = self._words.new.get(word) or self._words.old.get(word)
         if out is None:
             if _PLAIN.fullmatch(word):
                 out = b"".join(map(self._piece, _PIECES.findall(word.lower())))
             else:
-                out = self._exact(word)
-            if len(self._words) >= CACHED:
-                self._words.clear()
-            if len(word) <= 64:
-                self._words[word] = out
+                out = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= 64:
+            self._words.put(word, out)
         return out
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if "Σ" not in text:  # the one letter whose lower case depends on its neighbours
+            text = text.lower()
         split = _BREAKS.split(text) if any(c in text for c in _ODD) else text.split()
-        known = self._words.get
-        out = [known(w) for w in split]
+        out = list(map(self._words.new.get, split))
         if None in out:
             out = [self._word(w) if x is None else x for w, x in zip(split, out)]
         return b"".join(out)

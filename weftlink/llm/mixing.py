@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -111,7 +112,8 @@ def slots(plan: DataFrame, seed: int = SEED) -> DataFrame:
     at = np.argwhere(counts > 0)
     # At most SHARDS rows a source.
     table = pd.DataFrame({"shard": at[:, 0], "sid": rows["sid"].to_numpy()[at[:, 1]] if len(rows) else [], "blocks": rows["blocks"].to_numpy()[at[:, 1]] if len(rows) else [], "first": first[at[:, 0], at[:, 1]], "n": counts[at[:, 0], at[:, 1]]}).astype("int64")
-    dealt = spark.createDataFrame(table, "shard long, sid long, blocks long, first long, n long").repartition("shard")
+    tasks = max(1, min(len(counts), int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few bytes, but much to make of them
+    dealt = spark.createDataFrame(table, "shard long, sid long, blocks long, first long, n long").repartition(tasks, "shard")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,7 +161,7 @@ def mix(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEED)
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def _cut(text: str, ranges: list[tuple[int, int]], at: list[tuple[int, int]]) -> str:
+def _cut(text: str, ranges: list[list[int]], at: list[tuple[int, int]]) -> str:
     """The given word ranges of a text, each with the white space inside it, joined by line ends."""
     return "\n".join(text[at[a][0] : at[a + n - 1][1]] for a, n in ranges)
 
@@ -170,32 +172,28 @@ def mixed(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEE
     A pass that takes all of a document returns its text as it is; else the taken runs, in order, a line each.
     """
     columns = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = docs.withColumn("_weftlink_row", F.monotonically_increasing_id())
     _, parts = taken_parts(docs, block, most, seed)
-    passes = parts.groupBy("row", "turn", "size").agg(F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("start", "n"))).alias("_runs"))  # as many runs as the document has blocks
-    passes = passes.select(F.col("row.row").alias("_row"), F.col("turn").alias("_turn"), (F.col("_n") == F.col("size")).alias("_whole"), F.when(F.col("_n") < F.col("size"), F.col("_runs")).alias("_runs"))
-    joined = numbered.join(passes, "_row").drop("_row", "_turn")
+    passes = parts.groupBy("row", "turn", "size").agg(F.sum("n").alias("_weftlink_n"), F.sort_array(F.collect_list(F.struct("start", "n"))).alias("_weftlink_runs"))  # as many runs as the document has blocks
+    passes = passes.select(F.col("row.row").alias("_weftlink_row"), F.col("turn").alias("_weftlink_turn"), (F.col("_weftlink_n") == F.col("size")).alias("_weftlink_whole"), F.when(F.col("_weftlink_n") < F.col("size"), F.col("_weftlink_runs")).alias("_weftlink_runs"))
+    joined = numbered.join(passes, "_weftlink_row").drop("_weftlink_row", "_weftlink_turn")
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, whole, runs in zip(batch["text"], batch["_whole"], batch["_runs"]):
-                if not whole:
-                    merged: list[list[int]] = []
-                    for r in runs:
-                        if merged and merged[-1][0] + merged[-1][1] == r["start"]:
-                            merged[-1][1] += r["n"]
-                        else:
-                            merged.append([r["start"], r["n"]])
-                    text = _cut(text, [tuple(x) for x in merged], [m.span() for m in word.finditer(text)])
-                texts.append(text)
-            out = batch[columns].copy()
-            out["text"] = texts
-            yield out
-
-    whole = joined.where("_whole").select(*columns)
-    partial = joined.where("NOT _whole").mapInPandas(cut, docs.schema)
+            for text, runs in zip(batch["text"].to_pylist(), batch["_weftlink_runs"].to_pylist()):
+                merged: list[list[int]] = []
+                for r in runs:
+                    if merged and merged[-1][0] + merged[-1][1] == r["start"]:
+                        merged[-1][1] += r["n"]
+                    else:
+                        merged.append([r["start"], r["n"]])
+                texts.append(_cut(text, merged, [m.span() for m in word.finditer(text)]))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in columns], names=columns)
+
+    whole = joined.where("_weftlink_whole").select(*columns)
+    partial = joined.where("NOT _weftlink_whole").select(*columns, "_weftlink_runs").mapInArrow(cut, docs.schema)
     if "n_chars" in columns:
         partial = partial.withColumn("n_chars", F.length("text").cast("long"))
     return whole.unionByName(partial.select(*columns))

@@ -121,6 +121,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORD
     table = written(run_table(docs, run, least_words), "sentence-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "sentence")
     first = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain shuffles: a passage in very many documents is then split.
+    first = written(first, "sentence-firsts")
     joined = table.join(first, ["h1", "h2"]).where(place > F.col("first"))
     return joined.select("doc_id", "row", "sentence", "length", F.col("first.doc_id").alias("first_doc_id"))
 

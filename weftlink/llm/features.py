@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +25,13 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, offsets
 
 
-def chunks(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a column (nulls are empty), in lists of about CHUNK characters."""
+def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[list[str]]:
+    """The texts of a column (nulls are empty), in lists of about ``most`` characters."""
     now: list[str] = []
     size = 0
-    for text in column.to_pylist():
-        text = text or ""
-        if now and size + len(text) > CHUNK:
+    for text in column:
+        text = text.as_py() or ""
+        if now and size + len(text) > most:
             yield now
             now, size = [], 0
         now.append(text)
@@ -61,6 +63,16 @@ def crc32_of(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")), F.lit(0))
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system: fitting shares the driver with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> pa.Table:
     """``(text, <label>)`` of at most ``rows`` labelled documents, those with the least hashes of their ids.
 

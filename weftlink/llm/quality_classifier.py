@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import chunks, code_points, labelled_sample, ngrams
+from .features import chunks, code_points, labelled_sample, ngrams, trimmed
 from .kernels import mix, word_hashes
 
 SIZES, BITS, TOKENS = (1, 2, 3), 12, 64
-FIT_ROWS, STEPS, RIDGE = 6000, 300, 1e-3
+FIT_ROWS, STEPS, RIDGE = 4000, 300, 1e-3
 #: Documents are selected whose grade is at least GRADE with a probability of at least TAIL.
 GRADE, TAIL = 1, 0.25
 _WIDTH = (1 << BITS) + TOKENS
@@ -133,7 +133,10 @@ def train(docs: DataFrame, ratings: DataFrame) -> Model:
     """``ratings``: (doc_id, grade)."""
     usable = ratings.where(F.col("grade").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = labelled_sample(docs, usable, "grade", FIT_ROWS)
-    return fit(sample["text"].to_pylist(), sample["grade"].to_numpy())
+    model = fit(sample["text"].to_pylist(), sample["grade"].to_numpy())
+    del sample
+    trimmed()
+    return model
 
 
 def graded(docs: DataFrame, ratings: DataFrame) -> DataFrame:

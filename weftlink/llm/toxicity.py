@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import chunks, code_points, crc32_of, labelled_sample, ngrams
+from .features import chunks, code_points, crc32_of, labelled_sample, ngrams, trimmed
 
 SIZES, BITS = (3, 4, 5), 20
-FIT_ROWS, FEATURES, STEPS, RIDGE = 6000, 6000, 200, 2e-4
+FIT_ROWS, FEATURES, STEPS, RIDGE = 6000, 4000, 150, 2e-4
+#: Characters that fitting works on at a time, so that it stays small beside the driver's JVM.
+FIT_CHUNK = 1 << 17
 
 
 def _present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,21 +56,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
+def fit(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray) -> Model:
     y = labels.astype(np.float64)
     table = np.zeros(1 << BITS, dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
         share = y.mean() if len(y) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(table, float(np.log(share / (1 - share))))
-    column = pa.array(texts, pa.large_string())
-    toxic, other = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    toxic, other = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     done = 0
-    for part in chunks(column):
+    for part in chunks(texts, FIT_CHUNK):
         owner, bucket = _present(part)
         is_toxic = y[done : done + len(part)][owner] > 0
-        toxic += np.bincount(bucket[is_toxic], minlength=1 << BITS)
-        other += np.bincount(bucket[~is_toxic], minlength=1 << BITS)
+        np.add.at(toxic, bucket[is_toxic], 1)
+        np.add.at(other, bucket[~is_toxic], 1)
         done += len(part)
     positives = float(y.sum())
     negatives = len(y) - positives
@@ -79,23 +80,26 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     chi = np.where(seen >= 3, gap**2 / np.maximum(pooled * (1 - pooled), 1e-9), 0)
     chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
     chosen = chosen[chi[chosen] > 0]
-    place = np.full(1 << BITS, -1, np.int64)
+    del seen, pooled, gap, chi
+    place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    rows, cols, done = [], [], 0
-    for part in chunks(column):
+    # Pairs (text, feature) stay in the parts they were made in, in narrow types; a step goes through them part by part.
+    pairs, done = [], 0
+    for part in chunks(texts, FIT_CHUNK):
         owner, bucket = _present(part, place >= 0)
-        rows.append(owner + done)
-        cols.append(place[bucket])
+        pairs.append((slice(done, done + len(part)), owner.astype(np.int32), place[bucket].astype(np.uint16)))
         done += len(part)
-    row, col = np.concatenate(rows), np.concatenate(cols)
     r = ratio[chosen]
     w, b = np.zeros(len(chosen)), float(np.log(positives / negatives))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        s = np.bincount(row, weights=(w * r)[col], minlength=len(y)) + b
-        miss = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y
-        g = np.bincount(col, weights=miss[row], minlength=len(w)) * r / len(y) + RIDGE * w
-        gb = float(miss.mean())
+        g, gb, scaled = np.zeros_like(w), 0.0, w * r
+        for at, owner, col in pairs:
+            s = np.bincount(owner, weights=scaled[col], minlength=at.stop - at.start) + b
+            miss = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y[at]
+            g += np.bincount(col, weights=miss[owner], minlength=len(w))
+            gb += float(miss.sum())
+        g, gb = g * r / len(y) + RIDGE * w, gb / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
@@ -109,7 +113,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labels of documents that are not held out (crc32 of the id as text, mod 5, is not 0)."""
     usable = labels.where((crc32_of("doc_id") % 5 != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = labelled_sample(docs, usable, "toxic", FIT_ROWS)
-    return fit(sample["text"].to_pylist(), sample["toxic"].to_numpy())
+    model = fit(sample["text"], sample["toxic"].to_numpy())
+    del sample
+    trimmed()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -19,6 +19,18 @@ NULL_KEY = -(2**63)
 BROADCAST_ROWS = 10_000
 
 
+#: Rows and bytes of a batch that goes to Python: texts are long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small (settings of the session, lowered only)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import text_batches
 from .features import chunks, crc32_of
 
 FIT_DOCS, FIT_CHARS, FIT_SYMBOLS, FULL_TABLES = 64, 4000, 24_000, 8
@@ -192,6 +193,7 @@ def train(docs: DataFrame) -> Model:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of each row."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FULL_TABLES automata of FIT_SYMBOLS symbols
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, written
+from .common import NULL_KEY, text_batches, written
 from .components import components
 from .kernels import bodies, mix, shingles, word_hashes
 
@@ -82,6 +82,7 @@ def most_flipped(similarity: float) -> int:
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     """``(key, n, d1, d2, sketch, bands)`` of each row; d1 and d2 identify the set."""
 
+    text_batches(docs.sparkSession)
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, sketches, bands = [], [], [], [], []

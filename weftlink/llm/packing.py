@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 
 CAPACITY, END_ID = 4096, 1
 #: Neighbouring groups that meet in a round, and the items beyond which a group meets no others.
@@ -36,7 +36,7 @@ FAN, MOST_ITEMS = 8, 200_000
 #: Share of the capacity from which a sequence is emitted, by round; the last one holds for later rounds too.
 FULL = (0.998, 0.99, 0.97)
 #: Words and pieces of words whose ids a worker keeps (in two generations: the older one goes when the newer is full).
-CACHED = 300_000
+CACHED = 150_000
 
 # What the tokenizer file's pattern does to lower-case words of Latin letters; other words go to it whole.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -122,6 +122,7 @@ def encoder(path: str) -> Encoder:
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, home)``; ``home`` is the partition that made the piece."""
+    text_batches(docs.sparkSession)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .features import chunks, code_points, labelled_sample, ngrams, trimmed
 from .kernels import mix, word_hashes
 
@@ -141,6 +142,7 @@ def train(docs: DataFrame, ratings: DataFrame) -> Model:
 
 def graded(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     """``(doc_id, expected_grade, tail_probability, kept)`` of each row."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, ratings))  # some 4,000 weights
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 from .kernels import mix, word_hashes
 
 RUN, LEAST_WORDS = 2, 25
@@ -95,6 +95,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def run_table(docs: DataFrame, run: int, least_words: int) -> DataFrame:
     """``(doc_id, row, sentence, length, h1, h2)`` of every run; ``row`` tells rows of one doc_id apart."""
 
+    text_batches(docs.sparkSession)
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, rows = [], []

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .features import chunks, code_points, crc32_of, labelled_sample, ngrams, trimmed
 
 SIZES, BITS = (3, 4, 5), 20
@@ -121,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` of each row."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.intercept))  # 4 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +141,7 @@ def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that the classifier rejects, columns and rows otherwise as they are."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lambda m: (m.weights.tobytes(), m.intercept))(train(docs, labels)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

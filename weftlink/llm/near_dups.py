@@ -6,7 +6,7 @@ linked; groups are the connected components.
 
 1. Equal sets fold into one class each, represented by its least doc_id.
 2. Every class has 160 MinHash samples. 32 bands of five are its buckets; at a similarity of 0.8 a pair misses all of
-   them once in 300,000. Folding the samples into a 512-bit parity map gives its odd sketch: the population count of
+   them once in 300,000. Folding the samples into a 1024-bit parity map gives its odd sketch: the population count of
    two sketches' XOR estimates their similarity.
 3. Rounds of pivots: in each bucket with members of more than one group a pivot is chosen, and each member of another
    group is compared with one of its pivots, first by sketch, then by full sets. Links merge groups. A large group of
@@ -36,9 +36,9 @@ from .components import components
 from .kernels import bodies, mix, shingles, word_hashes
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS, SKETCH_BITS = 32, 5, 512
-#: A pair is verified unless its sketches put it this far below the threshold (over six standard deviations).
-MARGIN = 0.2
+BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
+#: A pair is verified unless its sketches put it this far below the threshold (nearly five standard deviations).
+MARGIN = 0.16
 #: Members of a bucket that are compared with each other in one task at once, and rounds of pivots before that.
 BLOCK, PIVOT_ROUNDS = 2048, 4
 
@@ -67,8 +67,8 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Eight 64-bit words: the bit of each (place, sample) is flipped."""
-    bit = (mix(samples.astype(np.uint64) | _SEATS) >> np.uint64(55)).astype(np.int64)
+    """The parity map in 64-bit words: the bit of each (place, sample) is flipped."""
+    bit = (mix(samples.astype(np.uint64) | _SEATS) >> np.uint64(65 - SKETCH_BITS.bit_length())).astype(np.int64)
     odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -169,8 +169,8 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         same, side = group["p"].iloc[0] == group["q"].iloc[0], group["block"].to_numpy() == group["p"].iloc[0]
         key, label = group["key"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
-        sketch, bands = (np.stack(group[c].to_numpy()).astype(np.int64) for c in ("sketch", "bands"))
-        band = np.argmax(bands[0] == group["bucket"].iloc[0])
+        sketch, bands = (np.stack(group[c].to_numpy()).astype(np.int64).view(np.uint64) for c in ("sketch", "bands"))  # bits of signed numbers count by their absolute value
+        band = np.argmax(bands[0] == np.int64(group["bucket"].iloc[0]).view(np.uint64))
         left = np.flatnonzero(side)
         right = left if same else np.flatnonzero(~side)
         found = [np.zeros((0, 2), np.int64)]

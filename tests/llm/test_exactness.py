@@ -77,10 +77,12 @@ def _brute(rows, k):
     return {rows[i][0]: (len(sets[i]), least[find(i)]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(make, k, monkeypatch):
+@pytest.mark.parametrize(("k", "rounds"), [(4, 4), (5, 0)])
+def test_near_duplicates(make, k, rounds, monkeypatch):
+    """Without rounds of pivots every link must come from the blocks."""
     rng = random.Random(k)
     monkeypatch.setattr(near_dups, "BLOCK", 8)
+    monkeypatch.setattr(near_dups, "PIVOT_ROUNDS", rounds)
     rows, n = [], 0
     for _ in range(6):
         base = prose(rng, rng.choice([3, 12, 60, 200])).split()

@@ -147,6 +147,28 @@ def test_layout_and_case_do_not_hide_a_repeat(make):
     assert {r["doc_id"] for r in found} <= {2}
 
 
+def test_a_passage_is_removed_to_its_ends(make):
+    rng = random.Random(14)
+    sentence = lambda n: prose(rng, n).capitalize() + "."
+    of = lambda *sizes: [sentence(n) for n in sizes]
+    tail, mixed = of(24, 10, 5), of(3, 30, 2, 40, 1, 1, 12, 9, 26, 4, 2)
+    docs = {1: of(11, 30) + tail + of(17, 9), 2: of(30) + tail + of(8, 28), 3: mixed, 4: mixed, 5: of(7, 40) + mixed[2:] + of(40)}
+    docs |= {6: of(60), 8: of(4, 3), 10: of(30, 30) + of(4, 3), 12: of(12, 12) + of(2)}
+    docs |= {7: docs[6], 9: docs[8], 11: of(33, 30) + docs[10][2:], 13: docs[12]}
+    out = {r["doc_id"]: r["text"].split() for r in substring_dedup.deduplicated(make([(i, " ".join(s)) for i, s in docs.items()])).collect()}
+    words = lambda s: " ".join(s).split()
+    assert out[2] == words(docs[2][:1] + docs[2][4:]) and out[5] == words(docs[5][:2] + docs[5][-1:])
+    assert all(out[i] == [] for i in (4, 7, 9, 13))
+    assert all(out[i] == words(docs[i]) for i in (1, 3, 6, 8, 10, 11, 12))  # of 11, the repeated end has too few words
+
+
+def test_copies_with_uneven_sentences_leave_nothing(make):
+    rng = random.Random(15)
+    texts = [" ".join(prose(rng, rng.choice((1, 2, 5, 9, 24, 25, 40))) + "." for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(make([(i, t) for i, t in enumerate(texts + texts)])).collect()}
+    assert all(out[i] == t and out[i + 60] == "" for i, t in enumerate(texts))
+
+
 # Fingerprints
 
 

@@ -5,7 +5,8 @@ line ends. Every run of ``run`` consecutive sentences with at least ``least_word
 over its words with A-Z read as a-z, so that layout doesn't matter). Hashes are joined globally; the first occurrence
 of a run, by doc_id and then place, stays, and every sentence that a later occurrence covers is removed. Runs of few
 words ("The. Of it.") repeat by chance and don't count; they are extended by further sentences until they have enough
-words instead, so that each sentence starts one run.
+words instead: each sentence starts the least run that reaches forward and ends the least one that reaches back, so
+that runs cover a repeated passage to both its ends. A text that holds no such run is one run as a whole: its copies go.
 
 Cases: null and blank texts have no sentences; a null doc_id comes last in the order of occurrences; ties (repeated
 rows, rows that share a doc_id) are broken by a hash of the text and a row number, so one of the equal rows stays;
@@ -61,10 +62,17 @@ def runs(body: bytes, run: int, least_words: int) -> tuple[np.ndarray, np.ndarra
     first_word = np.searchsorted(begins, bounds)  # words that start before each bound
     starts = np.arange(count)
     ends = np.maximum(np.searchsorted(first_word, first_word[:-1] + least_words), starts + run)
-    keep = (ends <= count) & (first_word[1:] > first_word[:-1])
-    starts, ends = starts[keep], ends[keep]
+    spoken = first_word[1:] > first_word[:-1]
+    keep = (ends <= count) & spoken
+    # The same from each end backwards, as the last sentences of a passage start no run inside it.
+    last = starts + 1
+    begin = np.minimum(np.searchsorted(first_word, first_word[1:] - least_words, side="right") - 1, last - run)
+    back = (begin >= 0) & spoken & spoken[begin] & ~(keep[begin] & (ends[begin] == last))
+    starts, ends = np.concatenate([starts[keep], begin[back]]), np.concatenate([ends[keep], last[back]])
     if not len(starts):
-        return none
+        if not len(words):
+            return none
+        starts, ends = np.array([0]), np.array([count])
     # A run's hash is a polynomial over its words: prefix sums of word * base**place, shifted back to place 0.
     with np.errstate(over="ignore"):
         n = len(words)
@@ -136,7 +144,7 @@ def removed_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORD
     """A row for each maximal stretch of removed sentences:
     ``(doc_id, row, first_sentence, n_sentences, first_doc_ids)``."""
     found = repeated_runs(numbered(docs).select("doc_id", "row", "text"), run, least_words)
-    stretches = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("sentence", "length")).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))  # as many runs as the document has sentences
+    stretches = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("sentence", "length")).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))  # at most two runs a sentence
 
     def merge(runs_: Column) -> Column:
         empty = F.array().cast("array<struct<a:int,b:int>>")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftlink import queries
 from weftlink.functions.text import normalized
 from weftlink.operators import audit, blocking, evaluate, features, ground_truth, pairs, profile, rules, splits, stats, validate
 from weftlink.schema import FEATURES, SHARD_COLUMNS
@@ -244,3 +245,20 @@ def test_prefilter(spark):
     got = {r["entity_id"]: r["kept_as"] for r in pairs.prefiltered(s1, s2, edges).collect()}
     assert "S2-0" not in got and got["S2-9"] == "match" and got["S2-2"] == "name"
     assert list(got.values()).count("prefix") == 5 and list(got.values()).count("country") == 3
+
+
+def test_prefilter_with_small_limits(spark):
+    s1 = recs(spark, [("S1-1", "Acme Tools", "US"), ("S1-2", "Brisk Ltd", "IN")])
+    s2 = recs(spark, [*[(f"S2-1{i}", f"Acme T{i}", "US") for i in range(4)], *[(f"S2-2{i}", f"Zeta {i}", "US") for i in range(4)], *[(f"S2-3{i}", f"Yota {i}", "IN") for i in range(3)]])
+    got = pairs.prefiltered(s1, s2, ground_truth.from_pairs(spark, [("S1-2", "S2-32")]), per_prefix=1, per_country=2).collect()
+    assert {r["entity_id"]: r["kept_as"] for r in got} == {"S2-10": "prefix", "S2-11": "country", "S2-12": "country", "S2-30": "country", "S2-31": "country", "S2-32": "match"}
+
+
+def test_registered_prefilter_takes_every_s1_record(spark, tmp_path):
+    names = {3: "walnut desk", 13: "walnut desk", 6: "copper lamp", 12: "silver bowl"}
+    keys = [3, 6, 12, *range(1, 180, 3)]
+    rows = [(k, names.get(k, f"{k:05d} thing"), "Brand", "TYPE", 7) for k in keys]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["entity_id"]: r["kept_as"] for r in queries.pilot_prefilter(spark, str(tmp_path)).collect()}
+    # 3 is in India, 6 and 12 in the US, none in France; 36 records of the US have no other claim than their country.
+    assert got == {f"S2-{k}": "match" if k == 13 else "country" for k in keys[3:] if k % 5 != 4}

@@ -424,8 +424,7 @@ def training_pipeline(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pilot_prefilter(spark: SparkSession, d: str) -> DataFrame:
     s1, by, sec = sides(spark, d)
-    some = s1.where("key % 4 = 0")
-    return pairs.prefiltered(some, by["S2"], truth(s1, sec), per_country=20).select("entity_id", "kept_as")
+    return pairs.prefiltered(s1, by["S2"], truth(s1, sec)).select("entity_id", "kept_as")
 
 
 # Evaluation

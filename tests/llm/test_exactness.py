@@ -439,3 +439,17 @@ def test_rules_keep_good_documents(make, spark):
     got = quality_rules.contract(make(rows), labels).toPandas()
     good = got["doc_id"] % 5 > 0
     assert got[good]["kept"].mean() > 0.95 and got[~good]["kept"].mean() < 0.05
+
+
+def test_a_large_group_does_not_end_the_merging(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_ITEMS", 100)
+    full = [(home, 60) for home in range(8) for _ in range(30)]  # 240 items that fit no other
+    rows = [(i, 0, 0, size, 7, home) for i, (home, size) in enumerate(full + [(home, 30) for home in range(8, 24)])]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, home int")
+    out = packing.pack(pieces, 100).toPandas()
+    assert sorted(out["doc_id"]) == [r[0] for r in rows] and out.groupby("sequence_id")["length"].sum().max() <= 100
+    small = out[out["length"] == 30]
+    assert small["sequence_id"].nunique() <= 16 and out["sequence_id"].nunique() <= 246
+    again = packing.pack(pieces.repartition(3), 100).toPandas()
+    held = lambda df: sorted(tuple(sorted(zip(g["offset"], g["doc_id"]))) for _, g in df.groupby("sequence_id"))
+    assert held(again) == held(out)

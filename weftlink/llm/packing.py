@@ -6,8 +6,9 @@ becomes an item, as long as what it holds, and items of ``FAN`` neighbouring gro
 up the tree. The fill that counts as nearly full falls from round to round, the last round emits all.
 
 An item of a later round holds at least one piece and at most ``capacity`` tokens, so what a group carries on is
-bounded by its underfull sequences; groups that would meet with more than ``MOST_ITEMS`` items stay apart (they are
-packed as they are: nothing is dropped).
+bounded by its underfull sequences; where more than ``MOST_ITEMS`` items would meet, they are dealt by hash over several
+groups of about that size, and the others go up the tree as ever. Each such group leaves at most one sequence that is
+half full or less.
 
 Cases: a null text is empty and packs as its end id alone; a null doc_id is kept; repeated rows are packed as often
 as they occur; equal lengths are placed in order of doc_id and piece; an empty table gives an empty result; columns
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import text_batches, written
 
 CAPACITY, END_ID = 4096, 1
-#: Neighbouring groups that meet in a round, and the items beyond which a group meets no others.
+#: Neighbouring groups that meet in a round, and the items beyond which those that meet are dealt over several groups.
 FAN, MOST_ITEMS = 8, 200_000
 #: Share of the capacity from which a sequence is emitted, by round; the last one holds for later rounds too.
 FULL = (0.998, 0.99, 0.97)
@@ -166,7 +167,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-_ITEM = "home int, size long, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_ITEM = "home int, salt int, size long, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
 def _round(items: DataFrame, capacity: int, full: float) -> DataFrame:
@@ -187,27 +188,28 @@ def _round(items: DataFrame, capacity: int, full: float) -> DataFrame:
                 content.append({**x, "offset": at})
                 at += x["length"]
             filled.append(content)
-        return pd.DataFrame({"home": group["home"].iloc[0], "size": total, "members": filled, "done": [t >= full * capacity for t in total]})
+        return pd.DataFrame({"home": group["home"].iloc[0], "salt": group["salt"].iloc[0], "size": total, "members": filled, "done": [t >= full * capacity for t in total]})
 
-    return items.groupBy("home").applyInPandas(pack, _ITEM + ", done boolean")
+    return items.groupBy("home", "salt").applyInPandas(pack, _ITEM + ", done boolean")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32, home) with ``sequence_id`` and ``offset``."""
     pieces = written(pieces, "pack-pieces")
-    items = pieces.select("home", F.col("length").alias("size"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("members"))
+    items = pieces.select("home", F.lit(0).alias("salt"), F.col("length").alias("size"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("members"))
     emitted: list[DataFrame] = []
     turn = 0
     while True:
         packed = written(_round(items, capacity, FULL[min(turn, len(FULL) - 1)]), f"pack-round{turn}")
         left = packed.where("NOT done")
-        groups = left.groupBy("home").agg(F.count(F.lit(1)).alias("n")).groupBy(F.floor(F.col("home") / FAN).cast("int").alias("next")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("met"))
-        state = groups.agg(F.count(F.lit(1)).alias("groups"), F.max(F.when(F.col("met") > 1, F.col("n"))).alias("most"), F.max("next").alias("top"), F.sum("met").alias("old")).first()
         emitted.append(packed.where("done"))
-        if not state["old"] or (state["old"] == 1) or (state["most"] or 0) > MOST_ITEMS:
+        if left.select("home").distinct().limit(2).count() < 2:
             emitted.append(left)
             break
-        items = left.select(F.floor(F.col("home") / FAN).cast("int").alias("home"), "size", "members")
+        above = F.floor(F.col("home") / FAN).cast("int").alias("next")
+        deals = left.groupBy(above).agg(F.ceil(F.count(F.lit(1)) / MOST_ITEMS).alias("deals"))  # a row for each FAN partitions at most
+        dealt = left.select(above, F.xxhash64("home", "salt", "members").alias("h"), "size", "members").join(F.broadcast(deals), "next")
+        items = dealt.select(F.col("next").alias("home"), F.pmod("h", "deals").cast("int").alias("salt"), "size", "members")
         turn += 1
     out = emitted[0]
     for more in emitted[1:]:

@@ -453,3 +453,12 @@ def test_a_large_group_does_not_end_the_merging(spark, monkeypatch):
     again = packing.pack(pieces.repartition(3), 100).toPandas()
     held = lambda df: sorted(tuple(sorted(zip(g["offset"], g["doc_id"]))) for _, g in df.groupby("sequence_id"))
     assert held(again) == held(out)
+
+
+def test_small_sources_get_their_whole_passes(make):
+    rng = random.Random(21)
+    sizes = {"a": 10, "b": 65, "c": 6000, "d": 0, "e": 1}
+    got = {"abcde"[r["doc_id"]]: r for r in mixing.contract(make([(i, prose(rng, n), "en", s) for i, (s, n) in enumerate(sizes.items())])).collect()}
+    assert {s: got[s]["target"] for s in "abde"} == {"a": 30, "b": 195, "d": 0, "e": 3}
+    assert {s: got[s]["taken"] for s in "abde"} == {"a": 30, "b": 195, "d": 0, "e": 3}
+    assert abs(got["c"]["taken"] - got["c"]["target"]) <= mixing.BLOCK

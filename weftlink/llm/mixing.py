@@ -4,7 +4,8 @@ The words of a source, its documents in order of doc_id, form one stream that is
 Targets: sources in code point order, null last, weigh 1, 2, 3 repeating and share all words; a target stops at
 ``most`` times its source's size and the excess is shared out again by weight. The output is a sequence of slots, a
 block each, dealt over shards. For every shard the counts of its sources are drawn from a multinomial over what the
-sources have left of their targets, so each source gets just its target, to half a block. Slots of a
+sources have left of their targets. A source's slots are its target in passes of all its blocks, rounded to a block, one
+at least: whole passes are exact to the word, the rest to half a block and what the short last block lacks. Slots of a
 source are numbered through; number q stands for pass q div blocks, and a keyed Feistel permutation of that pass maps
 q mod blocks to the block taken. Blocks and slots are joined by (source, block).
 
@@ -141,7 +142,11 @@ def taken_parts(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int
     rows = written(measured(docs, F.size(words(F.col("text")))), "mix-sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     plan = plan.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
-    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("quota", F.least(F.round(F.col("target") / block).cast("long"), most * F.col("blocks")))
+    # A pass takes all words of a source, its short last block too: passes count in blocks of the source's mean size.
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / block))
+    passes = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    quota = F.when(passes > 0, F.greatest(F.lit(1).cast("long"), F.round(passes * F.col("blocks")).cast("long"))).otherwise(0)
+    plan = plan.withColumn("quota", F.least(quota, most * F.col("blocks")))
     plan = written(plan, "mix-plan")
     known = plan.withColumnRenamed("source", "_source")
     placed = rows.join(small(known), rows["source"].eqNullSafe(known["_source"])).drop("_source", "blocks", "quota")

@@ -98,15 +98,49 @@ def test_near_duplicates(make, k, rounds, monkeypatch):
     assert got == _brute(rows, k)
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_near_misses_in_one_bucket(make, rounds, monkeypatch):
+    """A large group whose members are just under and just over the threshold alike, met in several blocks."""
+    rng = random.Random(31)
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "PIVOT_ROUNDS", rounds)
+    base, rows = prose(rng, 200).split(), []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice([3, 4, 5])):
+            copy[at] = f"new{rng.randint(0, 999)}"
+        rows.append((i, " ".join(copy)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(make(rows), 4).collect()}
+    assert got == _brute(rows, 4) and 10 < len({c for _, c in got.values()}) < 85
+
+
+def test_rows_that_share_an_id_are_judged_on_their_own_texts(make, spark):
+    rng = random.Random(32)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(1, one), (1, two), (1, two), (2, one + " end"), (3, two + " end"), (4, one + " end"), (None, two + " last"), (5, ""), (5, "")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in near_dups.near_duplicates(make(rows)).collect())
+    assert got == [(0, 57, 0), (1, 56, 0), (1, 56, 0), (1, 56, 1), (2, 57, 1), (3, 57, 0), (4, 57, 1), (5, 0, 5), (5, 0, 5)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in near_dups.deduplicated(make(rows)).collect())
+    assert left == [(0, two + " last"), (1, one), (5, ""), (5, "")]
+    docs = make([(7, one)] * 30)
+    assert near_dups.deduplicated(docs).count() == 1
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
-    for j in (0.6, 0.8, 0.95):
-        common = rng.integers(1, 2**63, int(4000 * j), dtype=np.uint64)
-        sides = [np.concatenate([common, rng.integers(1, 2**63, int(2000 * (1 - j)), dtype=np.uint64)]) for _ in range(2)]
-        a, b = (near_dups.odd_sketch(near_dups.minhash(x)) for x in sides)
-        flipped = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
-        assert abs(flipped - near_dups.most_flipped(j)) < 40
-    assert near_dups.most_flipped(0.8) < near_dups.most_flipped(0.6)
+    most = near_dups.most_flipped(near_dups.THRESHOLD - near_dups.MARGIN)
+    seen = {}
+    for j in (0.6, 0.65, 0.8, 0.95):
+        flips = []
+        for _ in range(60):
+            common = rng.integers(1, 2**63, int(2000 * j), dtype=np.uint64)
+            sides = [np.concatenate([common, rng.integers(1, 2**63, (2000 - len(common)) // 2, dtype=np.uint64)]) for _ in range(2)]
+            a, b = (near_dups.odd_sketch(near_dups.minhash(x)) for x in sides)
+            flips.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
+        seen[j] = flips
+        assert abs(np.mean(flips) - near_dups.most_flipped(j)) < 8, j
+    # All pairs at the threshold are verified, and few that are far below it.
+    assert max(seen[0.8]) <= most and max(seen[0.95]) <= most and np.mean(np.array(seen[0.65]) <= most) < 0.2 and min(seen[0.6]) > most
 
 
 def test_components(spark):

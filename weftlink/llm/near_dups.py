@@ -4,21 +4,22 @@ Words are runs of non-space characters with A-Z read as a-z; a document's set ho
 its whole word sequence as one if it has fewer words. Documents with 100 * |A and B| >= 100 * threshold * |A or B| are
 linked; groups are the connected components.
 
-1. Equal sets fold into one class each, represented by its least doc_id.
-2. Every class has 160 MinHash samples. 32 bands of five are its buckets; at a similarity of 0.8 a pair misses all of
-   them once in 300,000. Folding the samples into a 1024-bit parity map gives its odd sketch: the population count of
-   two sketches' XOR estimates their similarity.
+1. Equal sets fold into one class each, represented by its least row (doc_id, then a hash of the text).
+2. Every class has 512 MinHash samples. The first 160 make 32 bands of five, its buckets; at a similarity of 0.8 a pair
+   misses all of them once in 300,000. Folding all samples into a 2048-bit parity map gives its odd sketch: the
+   population count of two sketches' XOR estimates their similarity.
 3. Rounds of pivots: in each bucket with members of more than one group a pivot is chosen, and each member of another
    group is compared with one of its pivots, first by sketch, then by full sets. Links merge groups. A large group of
    near copies becomes one in a few rounds, with a number of pairs in proportion to its members.
-4. What is left, members of one bucket but of different groups, is compared by sketches alone, bucket by bucket, in
-   blocks of a bounded number of members; only pairs that the sketches leave open are verified. So no pair of a bucket
-   goes unchecked, however large it is, and no pairs inside a group are listed.
+4. What is left, members of one bucket but of different groups, meets bucket by bucket in blocks of a bounded number of
+   members and shingles. The sketches tell which members are in an undecided pair at all; only these get their texts,
+   and the block that holds both confirms such a pair on full sets. A block gives only links that join two of its
+   groups, so fewer rows than it has members, however many pairs it compares; no pair of a bucket goes unchecked.
 
 Cases: null and blank texts have empty sets and are linked with nothing; a null doc_id counts as the least id, and
 its row is its own group if nothing is linked to it; rows that share a doc_id and nothing else are judged one by one,
-but sets with the same least doc_id count as one; repeated rows are in one group; an empty table gives an empty result; columns that
-the operator doesn't use are ignored.
+each on its own text; repeated rows are in one group, and ``deduplicated`` leaves one of them; an empty table gives an
+empty result; columns that the operator doesn't use are ignored.
 """
 
 from __future__ import annotations
@@ -26,44 +27,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, text_batches, written
 from .components import components
+from .features import trimmed
 from .kernels import bodies, mix, shingles, word_hashes
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
+BANDS, ROWS, SAMPLES, SKETCH_BITS = 32, 5, 512, 2048
 #: A pair is verified unless its sketches put it this far below the threshold (nearly five standard deviations).
-MARGIN = 0.16
-#: Members of a bucket that are compared with each other in one task at once, and rounds of pivots before that.
-BLOCK, PIVOT_ROUNDS = 2048, 4
+MARGIN = 0.095
+#: Members and shingles (of all its members) that a block of a bucket holds, and rounds of pivots before that.
+BLOCK, BLOCK_SHINGLES, PIVOT_ROUNDS = 1024, 1 << 21, 4
+#: Pairs that are compared at a time.
+_PAIRS = 1 << 15
 
-_SAMPLES = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(77))
-_A = (_RNG.integers(1, 1 << 31, _SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B = _RNG.integers(0, 1 << 32, _SAMPLES, dtype=np.uint32)[:, None]
-_SEATS = np.arange(_SAMPLES, dtype=np.uint64) << np.uint64(32)
+_A = (_RNG.integers(1, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_B = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[:, None]
+_SEATS = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
 _BAND_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEPS = mix(np.arange(11, 11 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
 def minhash(hashes: np.ndarray) -> np.ndarray:
-    """The 160 samples of a set of 64-bit hashes."""
+    """The samples of a set of 64-bit hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(_SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(x), 512):
-            np.minimum(least, (_A * x[None, i : i + 512] + _B).min(axis=1), out=least)
+        for i in range(0, len(x), 256):
+            np.minimum(least, (_A * x[None, i : i + 256] + _B).min(axis=1), out=least)
     return least
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix((samples.reshape(BANDS, ROWS).astype(np.uint64) * _STEPS).sum(axis=1, dtype=np.uint64) + _BAND_SEEDS).view(np.int64)
+        return mix((samples[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _STEPS).sum(axis=1, dtype=np.uint64) + _BAND_SEEDS).view(np.int64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -75,14 +77,18 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 def most_flipped(similarity: float) -> int:
     """XOR population count that sketches of two sets of this similarity have on average."""
-    differing = 2 * _SAMPLES * (1 - similarity)
+    differing = 2 * SAMPLES * (1 - similarity)
     return int(np.ceil(SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** differing) / 2))
 
 
-def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``(key, n, d1, d2, sketch, bands)`` of each row; d1 and d2 identify the set."""
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
+
 
+def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """``(key, th, n, d1, d2, sketch, bands)`` of each row; d1 and d2 identify the set, th the text of a key."""
     text_batches(docs.sparkSession)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, sketches, bands = [], [], [], [], []
@@ -103,13 +109,19 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
 
             whole = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(n, pa.int64()), whole(d1), whole(d2), lists(sketches), lists(bands)], names=["key", "n", "d1", "d2", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["th"], pa.array(n, pa.int64()), whole(d1), whole(d2), lists(sketches), lists(bands)], names=["key", "th", "n", "d1", "d2", "sketch", "bands"])
+        trimmed()
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text").mapInArrow(sign, "key long, n long, d1 long, d2 long, sketch array<long>, bands array<long>")
+    rows = docs.select(_key().alias("key"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(sign, "key long, th long, n long, d1 long, d2 long, sketch array<long>, bands array<long>")
+
+
+def _near(common: np.ndarray | int, p: int, q: np.ndarray | int, per_mille: int) -> np.ndarray | bool:
+    return 1000 * common >= per_mille * (p + q - common)
 
 
 def verified(pairs: DataFrame, full: DataFrame, shingle_words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. ``full``: (key, text)."""
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold. ``full``: (cid, text)."""
     per_mille = round(threshold * 1000)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,126 +130,248 @@ def verified(pairs: DataFrame, full: DataFrame, shingle_words: int, threshold: f
             for x, y in zip(bodies(batch, "left"), bodies(batch, "right")):
                 p, q = shingles(word_hashes(x), shingle_words), shingles(word_hashes(y), shingle_words)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(1000 * common >= per_mille * (len(p) + len(q) - common))
+                keep.append(_near(common, len(p), len(q), per_mille))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(full.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(full.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+    one = pairs.join(full.select(F.col("cid").alias("a"), F.col("text").alias("left")), "a")
+    two = one.join(full.select(F.col("cid").alias("b"), F.col("text").alias("right")), "b")
     return two.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
 def _near_sketches(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    of = lambda c: classes.select(F.col("key").alias(c), F.col("sketch").alias(f"_{c}"))
+    of = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"_{c}"))
     flipped = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return pairs.join(of("a"), "a").join(of("b"), "b").where(flipped <= most).select("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return members.withColumn("label", F.col("key"))
-    return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        return members.withColumn("label", F.col("cid"))
+    return members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one group."""
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("bucket", "n")
-    return members.drop("n").join(mixed, "bucket")
+    """Members of buckets that hold more than one group, with the members ``n`` and the shingles ``load`` of the bucket."""
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("load")).where("low <> high").select("bucket", "n", "load")
+    return members.select("bucket", "cid", "label").join(mixed, "bucket")
 
 
 def _pivots(members: DataFrame, used: DataFrame | None) -> DataFrame:
     """``(bucket, pivot, group)``: of each bucket the member that meets most others in all its buckets (in a group of
     near copies that is the one most alike to all), none that was a pivot before."""
-    meets = members.groupBy("key").agg(F.sum("n").alias("meets"))
-    fresh = members if used is None else members.join(used, F.col("key") == F.col("pivot"), "left_anti")
-    best = fresh.join(meets, "key").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("key").alias("h"), F.col("key").alias("pivot"), F.col("label").alias("group"))).alias("p"))
+    meets = members.groupBy("cid").agg(F.sum("n").alias("meets"))
+    fresh = members if used is None else members.join(used, F.col("cid") == F.col("pivot"), "left_anti")
+    best = fresh.join(meets, "cid").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"), F.col("label").alias("group"))).alias("p"))
     return best.select("bucket", "p.pivot", "p.group")
 
 
 def _pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """One pair for each member that shares a bucket with a pivot of another group: with the pivot it meets most often."""
-    met = members.join(pivots, "bucket").where("label <> group").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("key").agg(F.max(F.struct("times", "pivot")).alias("m"))
-    return best.select(F.least("key", "m.pivot").alias("a"), F.greatest("key", "m.pivot").alias("b")).distinct()
+    met = members.join(pivots, "bucket").where("label <> group").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("cid").agg(F.max(F.struct("times", "pivot")).alias("m"))
+    return best.select(F.least("cid", "m.pivot").alias("a"), F.greatest("cid", "m.pivot").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs of one bucket and two groups whose sketches are near, found in blocks of a bounded size.
+_PLACE = ("bucket", "p", "q")
 
-    A pair that shares several buckets is given by the first of their bands alone.
-    """
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        same, side = group["p"].iloc[0] == group["q"].iloc[0], group["block"].to_numpy() == group["p"].iloc[0]
-        key, label = group["key"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
-        sketch, bands = (np.stack(group[c].to_numpy()).astype(np.int64).view(np.uint64) for c in ("sketch", "bands"))  # bits of signed numbers count by their absolute value
-        band = np.argmax(bands[0] == np.int64(group["bucket"].iloc[0]).view(np.uint64))
-        left = np.flatnonzero(side)
-        right = left if same else np.flatnonzero(~side)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in left:
-            other = right[(label[right] != label[i]) & ((key[right] > key[i]) if same else True)]
-            near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
-            ok = near[(bands[near] == bands[i]).argmax(axis=1) == band]
-            found.append(np.stack([np.minimum(key[i], key[ok]), np.maximum(key[i], key[ok])], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("key", "sketch", "bands"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "label", "sketch", "bands")
-    return dealt.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole (bucket, p, q) groups from sorted batches, with the end of each row's group."""
+    held: list[pa.RecordBatch] = []
 
+    def grouped(parts: list[pa.RecordBatch], last: bool) -> tuple[pa.Table, np.ndarray, int]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        changes = np.zeros(max(len(table) - 1, 0), dtype=bool)
+        for c in _PLACE:
+            x = table[c].to_numpy()
+            changes |= x[1:] != x[:-1]
+        ends = np.concatenate([np.flatnonzero(changes) + 1, [len(table)]])
+        cut = len(table) if last else int(ends[-2]) if len(ends) > 1 else 0
+        return table, np.repeat(ends, np.diff(ends, prepend=0)), cut
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of each row."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        table, ends, cut = grouped(held, False)
+        if cut:
+            yield table.slice(0, cut), ends[:cut]
+            held = table.slice(cut).to_batches()
+    if held:
+        table, ends, cut = grouped(held, True)
+        yield table, ends
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).view(np.uint64)  # bits of signed numbers count by their absolute value
+
+
+def _near_pairs(table: pa.Table, ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (left, right) of one group and of two labels whose sketches are near, left ascending.
+
+    A pair that shares several buckets is given by the first of their bands alone.
+    """
+    bucket, p, q, block, label = (table[c].to_numpy() for c in ("bucket", "p", "q", "block", "label"))
+    sketch, bands, bucket = _matrix(table["sketch"]), _matrix(table["bands"]), bucket.view(np.uint64)
+    count = ends - np.arange(len(ends)) - 1
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(ends):
+        base = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, base + _PAIRS, side="right")))
+        n = count[at:stop]
+        left = np.repeat(np.arange(at, stop), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (label[left] != label[right]) & ((p[left] == q[left]) | (block[left] != block[right]))
+        left, right = left[ok], right[ok]
+        ok = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= most
+        left, right = left[ok], right[ok]
+        first = (bands[left] == bands[right]).argmax(axis=1)
+        ok = bands[left, first] == bucket[left]
+        yield left[ok], right[ok]
+        at = stop
+
+
+def _joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, per_mille: int) -> list[tuple[int, int]]:
+    """Of the pairs (left, right) of one group's rows those that reach the threshold and join what was apart so far."""
+    parent = {int(x): int(x) for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    begin = np.cumsum(sizes) - sizes
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(known), dtype=np.int64)
+    out = []
+    bounds = np.concatenate([np.flatnonzero(np.diff(left, prepend=-1)), [len(left)]])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        i = int(left[lo])
+        mine = root(int(labels[i]))
+        others = np.array([j for j in right[lo:hi].tolist() if root(int(labels[j])) != mine], dtype=np.int64)
+        if not len(others):
+            continue
+        own = ids[begin[i] : begin[i] + sizes[i]]
+        marked[own] = 1
+        common = np.array([marked[ids[begin[j] : begin[j] + sizes[j]]].sum() for j in others])
+        marked[own] = 0
+        for j in others[_near(common, sizes[i], sizes[others], per_mille)].tolist():
+            a, b = root(int(labels[i])), root(int(labels[j]))
+            if a != b:
+                parent[a] = b
+                out.append((i, j))
+    return out
+
+
+def _block_links(members: DataFrame, classes: DataFrame, full: DataFrame, shingle_words: int, threshold: float, most: int) -> DataFrame:
+    """``(a, b)``: links that join groups, found among the members of one bucket and two groups."""
+    per_mille = round(threshold * 1000)
+    schema = "bucket long, p int, q int, block int, cid long, label long"
+
+    def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in _whole_groups(batches):
+            hit = np.zeros(len(table), dtype=bool)
+            for left, right in _near_pairs(table, ends, most):
+                hit[left] = hit[right] = True
+            yield from table.select(["bucket", "p", "q", "block", "cid", "label"]).filter(pa.array(hit)).to_batches()
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in _whole_groups(batches):
+            cid, label, texts = table["cid"].to_numpy(), table["label"].to_numpy(), table["text"].combine_chunks()
+            at = 0
+            while at < len(table):
+                end = int(ends[at])
+                group = table.slice(at, end - at)
+                found = list(_near_pairs(group, ends[at:end] - at, most))
+                left, right = (np.concatenate([x[i] for x in found]) for i in range(2))
+                if len(left):
+                    part = pa.RecordBatch.from_arrays([texts.slice(at, end - at)], names=["text"])
+                    sets = [shingles(word_hashes(body), shingle_words) for body in bodies(part, "text")]
+                    links = _joining(sets, label[at:end], left, right, per_mille)
+                    a, b = (np.array([cid[at + x[i]] for x in links], dtype=np.int64) for i in range(2))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                at = end
+        trimmed()
+
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    looks = classes.select("cid", "sketch", "bands")
+    rows = dealt.join(looks, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "label", "sketch", "bands")
+    sorted_ = lambda df: df.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    left = written(sorted_(rows).mapInArrow(undecided, schema), "near-undecided")
+    again = left.join(looks, "cid").join(full.select("cid", "text"), "cid")
+    return sorted_(again).mapInArrow(confirmed, "a long, b long")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, threshold: float) -> DataFrame:
+    """``(key, th, n, rep)`` of each row; ``rep``: the least (key, th) of its group, null for an empty set."""
     most = most_flipped(threshold - MARGIN)
     rows = written(signatures(docs, shingle_words), "near-signatures")
-    sets = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = written(sets, "near-classes")
-    seats = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sets = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("key", "th")).alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = written(sets.withColumn("cid", F.xxhash64("d1", "d2", "n")), "near-classes")
+    seats = classes.select("cid", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
+    shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = written(seats.join(shared, "bucket"), "near-buckets")
-    wanted = members.select("key").distinct()
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text").join(wanted, "key", "left_semi")
-    full = written(text, "near-texts")
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.key", "rep.th")
+    # Repeated rows fold into one before the join, so that none of its keys is hot.
+    texts = docs.select(_key().alias("key"), F.xxhash64("text").alias("th"), "text").groupBy("key", "th").agg(F.first("text").alias("text"))
+    full = written(texts.join(wanted, ["key", "th"]).select("cid", "text"), "near-texts")
 
     links, labels, used = None, None, None
+
+    def merged(new: DataFrame) -> bool:
+        nonlocal links, labels
+        if new.isEmpty():
+            return False
+        links = new if links is None else links.union(new)
+        labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
+        return True
+
     for _ in range(PIVOT_ROUNDS):
-        open_members = written(_open(_labelled(members.select("bucket", "key"), labels)), "near-open")
+        open_members = written(_open(_labelled(members, labels)), "near-open")
         pivots = written(_pivots(open_members, used), "near-pivots")
         used = pivots.select("pivot").distinct() if used is None else used.union(pivots.select("pivot")).distinct()
         pairs = written(_near_sketches(_pivot_pairs(open_members, pivots), classes, most), "near-pairs")
-        new = written(verified(pairs, full, shingle_words, threshold), "near-links")
-        if new.isEmpty():
+        if not merged(written(verified(pairs, full, shingle_words, threshold), "near-links")):
             break
-        links = new if links is None else links.union(new)
-        labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
-    open_members = written(_open(_labelled(members.select("bucket", "key"), labels)), "near-open")
-    pairs = written(_cross_pairs(open_members, classes, most), "near-pairs")
-    new = written(verified(pairs, full, shingle_words, threshold), "near-links")
-    if not new.isEmpty():
-        links = new if links is None else links.union(new)
-        labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
+    open_members = written(_open(_labelled(members, labels)), "near-open")
+    merged(written(_block_links(open_members, classes, full, shingle_words, threshold, most), "near-links"))
 
-    groups = classes.select("d1", "d2", "n", F.col("key").alias("least"), "rows")
+    groups = classes.select("cid", "d1", "d2", "n", "rep")
     if labels is not None:
-        groups = groups.join(labels.withColumnRenamed("node", "least"), "least", "left").withColumn("least", F.coalesce("label", "least")).drop("label")
-    # A set may hold a third of all rows: sets of several rows are repeated over eight salts.
-    groups = groups.withColumn("salt", F.explode(F.when(F.col("rows") > 1, F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))))
-    single = groups.where("rows = 1 AND least IS NOT NULL").select("d1", "d2", "n", "least")
-    several = groups.where("rows > 1").select("d1", "d2", "n", "salt", F.col("least").alias("many"))
-    placed = rows.drop("sketch", "bands").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(8)).cast("int"))
-    placed = placed.join(several, ["d1", "d2", "n", "salt"], "left").join(single, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("many", "least")).otherwise(F.col("key"))
+        linked = groups.join(labels.withColumnRenamed("node", "cid"), "cid")
+        least = linked.groupBy("label").agg(F.min("rep").alias("least"))
+        groups = groups.join(linked.select("cid", "label").join(least, "label").select("cid", "least"), "cid", "left").withColumn("rep", F.coalesce("least", "rep"))
+    # Written, so that both sides of the join are plain shuffles: rows of a set that holds many of them are then split.
+    groups = written(groups.select("d1", "d2", "n", "rep"), "near-groups")
+    return rows.select("key", "th", "n", "d1", "d2").join(groups, ["d1", "d2", "n"], "left").select("key", "th", "n", "rep")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of each row."""
+    component = F.coalesce("rep.key", "key")
     shown = lambda c: F.when(c != NULL_KEY, c)
-    return placed.select(shown(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (F.col("key") == component).alias("kept"))
+    out = _grouped(docs, shingle_words, threshold)
+    return out.select(shown(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (F.col("key") == component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the least doc_id."""
-    verdicts = near_duplicates(docs, shingle_words, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = written(verdicts.where("NOT kept").select(F.col("doc_id").alias("_gone")), "near-removed")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` without all but one row of each group: the one with the least doc_id (of repeated rows, any one)."""
+    verdicts = written(_grouped(docs, shingle_words, threshold).where("n > 0"), "near-verdicts")
+    here = F.struct("key", "th")
+    gone = written(verdicts.where(here != F.col("rep")).select(F.col("key").alias("_weftlink_k"), F.col("th").alias("_weftlink_t")).distinct(), "near-removed")
+    again = verdicts.where(here == F.col("rep")).groupBy(F.col("key").alias("_weftlink_k"), F.col("th").alias("_weftlink_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = written(again, "near-repeated")
+    on = ["_weftlink_k", "_weftlink_t"]
+    named = docs.withColumns({"_weftlink_k": _key(), "_weftlink_t": F.xxhash64("text")}).join(gone, on, "left_anti")
+    if again.isEmpty():
+        return named.drop(*on)
+    one = named.join(again, on, "left_semi").dropDuplicates(on)
+    return named.join(again, on, "left_anti").unionByName(one).drop(*on)
 
 
 def contract(docs: DataFrame) -> DataFrame:

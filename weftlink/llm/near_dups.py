@@ -41,7 +41,7 @@ BANDS, ROWS, SAMPLES, SKETCH_BITS = 32, 5, 512, 2048
 #: A pair is verified unless its sketches put it this far below the threshold (nearly five standard deviations).
 MARGIN = 0.095
 #: Members and shingles (of all its members) that a block of a bucket holds, and rounds of pivots before that.
-BLOCK, BLOCK_SHINGLES, PIVOT_ROUNDS = 1024, 1 << 21, 4
+BLOCK, BLOCK_SHINGLES, PIVOT_ROUNDS = 512, 1 << 21, 4
 #: Pairs that are compared at a time.
 _PAIRS = 1 << 15
 

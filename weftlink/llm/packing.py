@@ -6,9 +6,11 @@ becomes an item, as long as what it holds, and items of ``FAN`` neighbouring gro
 up the tree. The fill that counts as nearly full falls from round to round, the last round emits all.
 
 An item of a later round holds at least one piece and at most ``capacity`` tokens, so what a group carries on is
-bounded by its underfull sequences; where more than ``MOST_ITEMS`` items would meet, they are dealt by hash over several
-groups of about that size, and the others go up the tree as ever. Each such group leaves at most one sequence that is
-half full or less.
+bounded by its underfull sequences; where more than ``MOST_ITEMS`` items would meet, in a partition or further up, they
+are dealt by hash over several groups of about that size, and the others go up the tree as ever. Each such group leaves
+at most one sequence that is half full or less.
+
+Ids are those of the tokenizer's plain call: the strings of its special tokens become their ids.
 
 Cases: a null text is empty and packs as its end id alone; a null doc_id is kept; repeated rows are packed as often
 as they occur; equal lengths are placed in order of doc_id and piece; an empty table gives an empty result; columns
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import small, text_batches, written
+from .features import trimmed
 
 CAPACITY, END_ID = 4096, 1
 #: Neighbouring groups that meet in a round, and the items beyond which those that meet are dealt over several groups.
@@ -73,8 +76,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._special = {token.content: struct.pack("<I", i) for i, token in added.items()}
+        self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
+        # Tokens that are matched in normalised text or take white space with them need the whole tokenizer.
+        self._exact = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self._words, self._pieces = _Cache(CACHED), _Cache(CACHED)
 
     def _piece(self, piece: str) -> bytes:
@@ -102,6 +109,14 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self._exact:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if any(x in text for x in self._special):
+            parts = self._cuts.split(text)
+            return b"".join(self._special[x] if i % 2 else self._plain(x) for i, x in enumerate(parts) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if "Σ" not in text:  # the one letter whose lower case depends on its neighbours
             text = text.lower()
         split = _BREAKS.split(text) if any(c in text for c in _ODD) else text.split()
@@ -137,6 +152,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
                     rows.append((doc_id, piece, lo // 4, len(part) // 4, zlib.crc32(part), home))
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "home"])
+        trimmed()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("home")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, home int")
 
@@ -196,7 +212,14 @@ def _round(items: DataFrame, capacity: int, full: float) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32, home) with ``sequence_id`` and ``offset``."""
     pieces = written(pieces, "pack-pieces")
-    items = pieces.select("home", F.lit(0).alias("salt"), F.col("length").alias("size"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("members"))
+
+    def dealt(left: DataFrame) -> DataFrame:
+        """``left`` (home, h, size, members) with ``salt``: a group of a home that is too large is dealt over several."""
+        deals = left.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.count(F.lit(1)) / MOST_ITEMS).alias("deals"))  # a row for each home
+        return left.join(small(deals), F.col("home") == F.col("_home")).select("home", F.pmod("h", "deals").cast("int").alias("salt"), "size", "members")
+
+    one = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")))
+    items = dealt(pieces.select("home", F.xxhash64("doc_id", "piece", "start", "ids_crc32").alias("h"), F.col("length").alias("size"), one.alias("members")))
     emitted: list[DataFrame] = []
     turn = 0
     while True:
@@ -206,10 +229,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if left.select("home").distinct().limit(2).count() < 2:
             emitted.append(left)
             break
-        above = F.floor(F.col("home") / FAN).cast("int").alias("next")
-        deals = left.groupBy(above).agg(F.ceil(F.count(F.lit(1)) / MOST_ITEMS).alias("deals"))  # a row for each FAN partitions at most
-        dealt = left.select(above, F.xxhash64("home", "salt", "members").alias("h"), "size", "members").join(F.broadcast(deals), "next")
-        items = dealt.select(F.col("next").alias("home"), F.pmod("h", "deals").cast("int").alias("salt"), "size", "members")
+        items = dealt(left.select(F.floor(F.col("home") / FAN).cast("int").alias("home"), F.xxhash64("home", "salt", "members").alias("h"), "size", "members"))
         turn += 1
     out = emitted[0]
     for more in emitted[1:]:

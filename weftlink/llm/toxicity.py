@@ -2,8 +2,9 @@
 
 Features are hashed character n-grams of 3 to 5 code points (A-Z read as a-z), present or not. Over the labelled sample
 each feature's log-count ratio r = ln((p + 1) / (P + 2)) - ln((q + 1) / (Q + 2)) compares the toxic texts that have it
-with the others; its value is r where present, and regularised logistic regression learns a weight for each of the
-features that tell the classes apart best. A score is the logistic of the sum over a text's distinct features.
+with the others; its value is r where present, and regularised logistic regression learns a weight for every feature
+that differs between the classes by more than chance (a significance test, so their number follows the sample). A score
+is the logistic of the sum over a text's distinct features.
 
 The model is fitted on the driver from at most ``FIT_ROWS`` labelled documents (those with the least hashed ids).
 
@@ -24,26 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .features import chunks, code_points, crc32_of, labelled_sample, ngrams, trimmed
+from .features import chunks, code_points, crc32_of, gram_buckets, labelled_sample, minimised, trimmed
 
 SIZES, BITS = (3, 4, 5), 20
-FIT_ROWS, FEATURES, STEPS, RIDGE = 6000, 4000, 150, 2e-4
+FIT_ROWS, STEPS, RIDGE = 6000, 60, 5e-4
+#: A feature counts if its chi-square statistic says that chance explains it in one of 10,000 cases at most.
+CHI_SQUARE = 15.14
 #: Characters that fitting works on at a time, so that it stays small beside the driver's JVM.
 FIT_CHUNK = 1 << 17
 
 
-def _present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of the distinct features of each text; ``wanted`` marks the buckets that matter."""
+def present(texts: list[str]) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text."""
     codes, offsets = code_points(texts)
-    pairs = []
-    for n in SIZES:
-        bucket, owner = ngrams(codes, offsets, n, BITS)
-        if wanted is not None:
-            keep = wanted[bucket]
-            bucket, owner = bucket[keep], owner[keep]
-        pairs.append((owner << BITS) | bucket)
-    both = np.unique(np.concatenate(pairs))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    hashed = [gram_buckets(codes, n, BITS) for n in SIZES]
+    seat = np.zeros(1 << BITS, dtype=np.int32)
+    for lo, hi in zip(offsets[:-1], offsets[1:]):
+        bucket = np.concatenate([h[lo : max(lo, hi - n + 1)] for h, n in zip(hashed, SIZES)])
+        place = np.arange(len(bucket), dtype=np.int32)
+        seat[bucket] = place  # one of the places of each bucket stays
+        yield bucket[seat[bucket] == place]
 
 
 @dataclass(frozen=True)
@@ -52,11 +53,22 @@ class Model:
     intercept: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        owner, bucket = _present(texts, self.weights != 0)
-        total = np.bincount(owner, weights=self.weights[bucket], minlength=len(texts)) + self.intercept
+        total = np.array([self.weights[bucket].sum(dtype=np.float64) for bucket in present(texts)]) + self.intercept
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
+def log_ratios(toxic: np.ndarray, other: np.ndarray, positives: float, negatives: float) -> np.ndarray:
+    """r of each feature, from the toxic and the other texts that have it."""
+    return np.log((toxic + 1) / (positives + 2)) - np.log((other + 1) / (negatives + 2))
+
+
+def chi_square(toxic: np.ndarray, other: np.ndarray, positives: float, negatives: float) -> np.ndarray:
+    """Of each feature and the classes, with one degree of freedom; 0 for a feature of no or of all texts."""
+    share = (toxic + other) / (positives + negatives)
+    spread = share * (1 - share) * (1 / positives + 1 / negatives)
+    return np.where(spread > 0, (toxic / positives - other / negatives) ** 2 / np.maximum(spread, 1e-12), 0)
+
+
 def fit(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray) -> Model:
     y = labels.astype(np.float64)
     table = np.zeros(1 << BITS, dtype=np.float32)
@@ -67,47 +79,40 @@ def fit(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray) -> Model:
     toxic, other = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     done = 0
     for part in chunks(texts, FIT_CHUNK):
-        owner, bucket = _present(part)
-        is_toxic = y[done : done + len(part)][owner] > 0
-        np.add.at(toxic, bucket[is_toxic], 1)
-        np.add.at(other, bucket[~is_toxic], 1)
+        for bucket, label in zip(present(part), y[done : done + len(part)]):
+            (toxic if label > 0 else other)[bucket] += 1
         done += len(part)
     positives = float(y.sum())
-    negatives = len(y) - positives
-    ratio = np.log((toxic + 1) / (positives + 2)) - np.log((other + 1) / (negatives + 2))
-    seen = toxic + other
-    pooled = seen / len(y)
-    gap = toxic / positives - other / negatives
-    chi = np.where(seen >= 3, gap**2 / np.maximum(pooled * (1 - pooled), 1e-9), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    chosen = chosen[chi[chosen] > 0]
-    del seen, pooled, gap, chi
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    # Pairs (text, feature) stay in the parts they were made in, in narrow types; a step goes through them part by part.
-    pairs, done = [], 0
+    counts = toxic, other, positives, len(y) - positives
+    telling = chi_square(*counts) >= CHI_SQUARE
+    x = np.where(telling, log_ratios(*counts), 0).astype(np.float32)
+    # The telling features of all texts stay in the parts they were made in: (text numbers, sizes, buckets).
+    parts, done = [], 0
     for part in chunks(texts, FIT_CHUNK):
-        owner, bucket = _present(part, place >= 0)
-        pairs.append((slice(done, done + len(part)), owner.astype(np.int32), place[bucket].astype(np.uint16)))
+        each = [b[telling[b]].astype(np.int32) for b in present(part)]
+        parts.append((slice(done, done + len(part)), np.array([len(b) for b in each]), np.concatenate(each)))
         done += len(part)
-    r = ratio[chosen]
-    w, b = np.zeros(len(chosen)), float(np.log(positives / negatives))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, STEPS + 1):  # Adam on the whole sample
-        g, gb, scaled = np.zeros_like(w), 0.0, w * r
-        for at, owner, col in pairs:
-            s = np.bincount(owner, weights=scaled[col], minlength=at.stop - at.start) + b
+
+    def loss(params: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean logistic loss with the ridge, and its gradient; the last parameter is the intercept."""
+        scaled, total = params[:-1] * x, 0.0
+        g = np.zeros(len(params), dtype=np.float32)
+        for at, sizes, bucket in parts:
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            s = np.bincount(owner, weights=scaled[bucket], minlength=len(sizes)) + float(params[-1])
             miss = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y[at]
-            g += np.bincount(col, weights=miss[owner], minlength=len(w))
-            gb += float(miss.sum())
-        g, gb = g * r / len(y) + RIDGE * w, gb / len(y)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
-        w = w - 0.02 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        b = b - 0.02 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    table[chosen] = w * r
-    return Model(table, b)
+            np.add.at(g, bucket, miss.astype(np.float32)[owner])
+            g[-1] += miss.sum()
+            total += float((np.logaddexp(0, s) - y[at] * s).sum())
+        g[:-1] *= x
+        g /= len(y)
+        g[:-1] += np.float32(RIDGE) * params[:-1]
+        return total / len(y) + RIDGE / 2 * float(params[:-1] @ params[:-1]), g
+
+    start = np.zeros((1 << BITS) + 1, dtype=np.float32)
+    start[-1] = np.log(positives / (len(y) - positives))
+    found = minimised(loss, start, STEPS)
+    return Model(found[:-1] * x, float(found[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -130,6 +135,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             parts = [known.scores(part) for part in chunks(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
+        trimmed()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
 
@@ -149,5 +155,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
         for batch in batches:
             parts = [known.scores(part) for part in chunks(batch["text"])]
             yield batch.filter(pa.array(np.concatenate(parts) < threshold if parts else np.zeros(0, bool)))
+        trimmed()
 
     return docs.mapInArrow(keep, docs.schema)

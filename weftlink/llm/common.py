@@ -40,6 +40,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running totals of an array under an associative ``op``: total i covers places 0 to i.
+
+    Totals over 1, 2, 4, ... places, each from two of the ones before: log2(size) passes, no array is copied per place.
+    """
+
+    def doubled(width: int) -> Callable[[Column], Column]:
+        def totals(s: Column) -> Column:
+            wider = F.transform(s, lambda x, i: F.when(i >= width, op(F.get(s, i - width), x)).otherwise(x))
+            return F.when(F.size(s) > width, let(wider, doubled(2 * width)) if width < 1 << 30 else wider).otherwise(s)
+
+        return totals
+
+    return let(values, doubled(1))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BREAK_CHARS))

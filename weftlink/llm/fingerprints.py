@@ -68,7 +68,8 @@ def _terms(m: DataFrame, keys: list[str], text: Column, o: int, e: int) -> DataF
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``(doc_id, fingerprint, signature)`` of every row."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows get their numbers once, in a written table: a second evaluation may number them otherwise.
+    rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text")), "fingerprint-rows")
     terms = rows.select("_row", F.explode(words(F.lower(F.col("text")))).alias("w")).select("_row", F.xxhash64("w").alias("term"))
     sig = signatures(terms.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("signature")), ["_row"], ["signature"], samples)
     empty = F.array_repeat(F.lit(0).cast("long"), samples)

@@ -19,10 +19,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, running, written
 
 #: Choices and repetitions beyond this many strings count as unknown text.
 MOST_STRINGS = 64
+#: Code points of a text that are cut at a time.
+PART = 4096
 
 
 @dataclass(frozen=True)
@@ -132,29 +134,21 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
-    """Sorted-by-place structs (start, place, end) of one rule: gaps and matches alternate, their lengths add up."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    """Sorted structs (start, place, end) of one rule: gaps and matches alternate, running totals of their lengths are the ends."""
     kind = "array<struct<start:int,place:int,end:int>>"
+    group = lambda g: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g))
 
     def located(m: Column) -> Column:
-        long_enough = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
+        long_enough = F.transform(group(rule.group) if rule.group else m, lambda g: F.length(g) >= rule.least)
+        steps = let(F.split(text, rule.pattern), lambda gaps: F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i))))
 
-        def place_all(gaps: Column) -> Column:
-            steps = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))
+        def spans(ends: Column) -> Column:
+            every = F.transform(ends, lambda e, i: F.struct((e - F.length(F.get(m, i))).alias("start"), F.lit(place).alias("place"), e.alias("end")))
+            return let(long_enough, lambda ok: F.filter(every, lambda s, i: F.get(ok, i)))
 
-            def spans(step: Column) -> Column:
-                def one(x: Column, i: Column) -> Column:
-                    before = F.aggregate(F.slice(step, F.lit(1), i), F.lit(0), lambda a, b: a + b) + F.length(F.get(gaps, i))
-                    return F.struct(before.alias("start"), F.lit(place).alias("place"), (before + F.length(x)).alias("end"))
+        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(running(steps, lambda a, b: a + b), spans))
 
-                kept = let(long_enough, lambda ok: F.filter(F.transform(m, lambda x, i: F.struct(one(x, i).alias("s"), F.get(ok, i).alias("ok"))), lambda r: r["ok"]))
-                return F.transform(kept, lambda r: r["s"])
-
-            return let(steps, spans)
-
-        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(F.split(text, rule.pattern), place_all))
-
-    return let(whole, located).cast(kind)
+    return let(group(0), located).cast(kind)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -176,20 +170,39 @@ def spans_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["place"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """``text`` with every span of ``found`` (sorted, not empty) replaced; overlapping spans get one mask.
+
+    Texts are cut into parts of ``PART`` code points, so that a cut costs what its part is long, not the whole text.
+    """
+
+    def disjoint(ends: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.when(i > 0, F.get(found, i)["start"] >= F.get(ends, i - 1)).otherwise(True))
+        one = lambda s, i, k: F.struct(F.get(found, i)["start"].alias("a"), F.get(ends, F.coalesce(F.get(s, k + 1), F.size(ends)) - 1).alias("b"))
+        return let(first, lambda s: F.transform(s, lambda i, k: one(s, i, k)))
+
+    def part(t: Column, at: Column, spans: Column) -> Column:
+        def cut(own: Column) -> Column:
+            def piece(x: Column, k: Column) -> Column:
+                begin = F.when(k > 0, F.get(own, k - 1)["b"]).otherwise(at)
+                return F.concat(F.when(x["a"] > begin, F.substring(t, begin - at + 1, x["a"] - begin)).otherwise(""), F.when(x["a"] >= at, mask).otherwise(""))
+
+            tail = F.substring(t, F.element_at(own, -1)["b"] - at + 1, F.lit(PART))
+            return F.when(F.size(own) == 0, t).otherwise(F.concat(F.array_join(F.transform(own, piece), ""), tail))
+
+        return let(F.filter(spans, lambda x: (x["b"] > at) & (x["a"] < at + PART)), cut)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    reach = running(F.transform(found, lambda s: s["end"]), F.greatest)
+    return let(let(reach, disjoint), lambda spans: F.array_join(F.transform(parts, lambda t, i: part(t, i * PART, spans)), ""))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one); n_chars follows the text."""
-    merged = F.aggregate(
-        "found",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
     # The row's own columns travel in a struct, so that no name of theirs can clash with those made here.
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = scan(rows, rules).withColumn("clean", F.when(F.size("found") > 0, merged).otherwise(F.col("text")))
+    clean = F.when(F.size("found") > 0, let(F.col("found"), lambda found: _masked(F.col("text"), found, mask))).otherwise(F.col("text"))
+    out = scan(rows, rules).withColumn("clean", clean)
     changed = {"text": F.col("clean"), "n_chars": F.when(F.size("found") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -1,15 +1,17 @@
 """Substring dedup over sliding runs of sentences.
 
 A text is cut into sentences: after ``.``, ``!`` or ``?`` (and further ASCII punctuation) before white space, and at
-line ends. Every run of ``run`` consecutive sentences with at least ``least_words`` words in total is hashed (96 bits,
-over its words with A-Z read as a-z, so that layout doesn't matter). Hashes are joined globally; the first occurrence
-of a run, by doc_id and then place, stays, and every sentence that a later occurrence covers is removed. Runs of few
-words ("The. Of it.") repeat by chance and don't count; they are extended by further sentences until they have enough
-words instead: each sentence starts the least run that reaches forward and ends the least one that reaches back, so
-that runs cover a repeated passage to both its ends. A text that holds no such run is one run as a whole: its copies go.
+line ends. Runs of ``run`` consecutive sentences or more are hashed (96 bits, over their words with A-Z read as a-z, so
+the white space inside a sentence doesn't matter). Hashes are joined globally; the first occurrence of a run, by doc_id
+and then place, stays, and every sentence that a later occurrence covers is removed. A run has ``least_words`` words at
+least: half of all two-sentence runs of plain prose are a few words long ("The. Of it.") and repeat by chance, so a
+short one is extended by further sentences until it has enough words. Each sentence starts the least run that reaches
+forward and ends the least one that reaches back: every repeated passage of so many sentences and words is the union of
+such runs and goes to both its ends. A text that holds no such run is one run as a whole: its copies go.
 
 Cases: null and blank texts have no sentences; a null doc_id comes last in the order of occurrences; ties (repeated
-rows, rows that share a doc_id) are broken by a hash of the text and a row number, so one of the equal rows stays;
+rows, rows that share a doc_id) are broken by a hash of the text and a row number, so one of the equal rows stays; rows are
+numbered once, in a written table;
 a text whose sentences are all removed becomes empty; an empty table gives an empty result; other columns pass
 through ``deduplicated`` unchanged, n_chars follows the text.
 """
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import let, running, text_batches, written
+from .features import trimmed
 from .kernels import mix, word_hashes
 
 RUN, LEAST_WORDS = 2, 25
@@ -101,13 +104,13 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_table(docs: DataFrame, run: int, least_words: int) -> DataFrame:
-    """``(doc_id, row, sentence, length, h1, h2)`` of every run; ``row`` tells rows of one doc_id apart."""
+    """``(doc_id, th, row, sentence, length, h1, h2)`` of every run; ``th`` and ``row`` tell rows of one doc_id apart."""
 
     text_batches(docs.sparkSession)
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, rows = [], []
-            ids, numbers = batch["doc_id"], batch["row"]
+            own = [batch[c] for c in ("doc_id", "th", "row")]
             for i, text in enumerate(batch["text"]):
                 body = text.as_buffer()
                 if body is not None:
@@ -118,17 +121,19 @@ def run_table(docs: DataFrame, run: int, least_words: int) -> DataFrame:
             at = pa.array(np.concatenate(rows).astype(np.int64))
             start, length, h1, h2 = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(at), numbers.take(at), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                names=["doc_id", "row", "sentence", "length", "h1", "h2"],
+                [*[x.take(at) for x in own], pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                names=["doc_id", "th", "row", "sentence", "length", "h1", "h2"],
             )
+        trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInArrow(hashed, "doc_id long, row long, sentence int, length int, h1 long, h2 int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "row", "text")
+    return rows.mapInArrow(hashed, "doc_id long, th long, row long, sentence int, length int, h1 long, h2 int")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Every non-first occurrence of a run: ``(doc_id, row, sentence, length, first_doc_id)``."""
+    """Every non-first occurrence of a run: ``(doc_id, row, sentence, length, first_doc_id)``. ``docs`` has a ``row``."""
     table = written(run_table(docs, run, least_words), "sentence-runs")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "sentence")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "row", "sentence")
     first = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Written, so that both sides of the join are plain shuffles: a passage in very many documents is then split.
     first = written(first, "sentence-firsts")
@@ -136,32 +141,32 @@ def repeated_runs(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORD
     return joined.select("doc_id", "row", "sentence", "length", F.col("first.doc_id").alias("first_doc_id"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.monotonically_increasing_id())
-
-
 def removed_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row for each maximal stretch of removed sentences:
-    ``(doc_id, row, first_sentence, n_sentences, first_doc_ids)``."""
-    found = repeated_runs(numbered(docs).select("doc_id", "row", "text"), run, least_words)
+    """A row for each maximal stretch of removed sentences: ``(doc_id, row, first_sentence, n_sentences, first_doc_ids)``.
+    ``docs`` has a ``row``."""
+    found = repeated_runs(docs.select("doc_id", "row", "text"), run, least_words)
     stretches = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("sentence", "length")).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))  # at most two runs a sentence
 
     def merge(runs_: Column) -> Column:
-        empty = F.array().cast("array<struct<a:int,b:int>>")
-        step = lambda out, r: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["b"] >= r["sentence"]),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), F.greatest(F.element_at(out, -1)["b"], r["sentence"] + r["length"]).alias("b")))),
-        ).otherwise(F.concat(out, F.array(F.struct(r["sentence"].alias("a"), (r["sentence"] + r["length"]).alias("b")))))
-        return F.aggregate(F.array_sort(runs_), empty, step)
+        """Maximal stretches (a, b) of sorted runs: one starts where no run before it reaches."""
+        reach = running(F.transform(runs_, lambda r: r["sentence"] + r["length"]), F.greatest)
+
+        def cut(ends: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(runs_) - 1), lambda i: F.when(i > 0, F.get(runs_, i)["sentence"] > F.get(ends, i - 1)).otherwise(True))
+            stretch = lambda s, i, k: F.struct(F.get(runs_, i)["sentence"].alias("a"), F.get(ends, F.coalesce(F.get(s, k + 1), F.size(ends)) - 1).alias("b"))
+            return let(starts, lambda s: F.transform(s, lambda i, k: stretch(s, i, k)))
+
+        return let(reach, cut)
 
-    return stretches.select("doc_id", "row", F.inline(merge(F.col("runs"))), "first_doc_ids").select("doc_id", "row", F.col("a").alias("first_sentence"), (F.col("b") - F.col("a")).alias("n_sentences"), "first_doc_ids")
+    return stretches.select("doc_id", "row", F.inline(let(F.array_sort("runs"), merge)), "first_doc_ids").select("doc_id", "row", F.col("a").alias("first_sentence"), (F.col("b") - F.col("a")).alias("n_sentences"), "first_doc_ids")
 
 
 def deduplicated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the covered sentences of non-first runs removed; n_chars follows."""
     columns, schema = docs.columns, docs.schema
-    spans = removed_spans(docs, run, least_words).groupBy("row").agg(F.collect_list(F.struct("first_sentence", "n_sentences")).alias("_spans"))
-    rows = docs.withColumn("_weftlink_row", F.monotonically_increasing_id())  # numbered as above: the scan is the same
+    rows = written(docs.withColumn("_weftlink_row", F.monotonically_increasing_id()), "sentence-rows")
+    own = rows.select("doc_id", F.col("_weftlink_row").alias("row"), "text")
+    spans = removed_spans(own, run, least_words).groupBy("row").agg(F.collect_list(F.struct("first_sentence", "n_sentences")).alias("_spans"))
     joined = rows.join(spans.select(F.col("row").alias("_weftlink_row"), F.col("_spans").alias("_weftlink_spans")), "_weftlink_row", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,4 +190,5 @@ def deduplicated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS
 
 def contract(docs: DataFrame) -> DataFrame:
     """Removed stretches of every document that loses some, with the documents that hold their first occurrence."""
-    return removed_spans(docs).select("doc_id", "first_sentence", "n_sentences", "first_doc_ids")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")  # evaluated once, into the table of runs
+    return removed_spans(rows).select("doc_id", "first_sentence", "n_sentences", "first_doc_ids")

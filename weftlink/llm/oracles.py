@@ -11,12 +11,12 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 
 
 def _quality_sql() -> str:
-    limit = qr.RISK / len(qr.GRID)
-    tests = [(rule, cut) for rule, cuts in qr.GRID.items() for cut in cuts]
-    counts = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {c!r}::DOUBLE AS cut, count(*) AS n, count(*) FILTER (WHERE {r} > {c!r}) AS k FROM good GROUP BY stratum" for r, c in tests)
-    above = " OR ".join(f"coalesce({r} > (SELECT min(cut) FROM passed p WHERE p.stratum = m.stratum AND p.rule = '{r}'), false)" for r in qr.GRID)
+    levels = range(min(map(len, qr.GRID.values())))
+    any_of = lambda i: " OR ".join(f"{r} > {c[i]!r}" for r, c in qr.GRID.items())
+    counts = " UNION ALL ".join(f"SELECT stratum, {i} AS level, count(*) AS n, count(*) FILTER (WHERE {any_of(i)}) AS k FROM good GROUP BY stratum" for i in levels)
+    above = " OR ".join(f"(c.level = {i} AND ({any_of(i)}))" for i in levels)
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {_WORDS} AS w,
+WITH d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS stratum, coalesce(text, '') AS text, {_WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
@@ -31,10 +31,11 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars FROM base),
 good AS (SELECT m.* FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
 tests AS ({counts}),
-passed AS (SELECT * FROM (SELECT stratum, rule, cut, CASE WHEN k >= n * {limit!r} THEN 1 ELSE
-    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(limit)!r} + (n - i) * {math.log1p(-limit)!r}))) END AS p FROM tests)
-    WHERE p <= {qr.DELTA!r} / ({len(tests)} * (SELECT count(DISTINCT stratum) FROM good)))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({above}) AS kept FROM m"""
+tails AS (SELECT stratum, level, CASE WHEN k >= n * {qr.RISK!r} THEN 1 ELSE
+    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(qr.RISK)!r} + (n - i) * {math.log1p(-qr.RISK)!r}))) END
+    <= {qr.DELTA!r} / (SELECT count(DISTINCT stratum) FROM good) AS passed FROM tests),
+certified AS (SELECT stratum, min(level) AS level FROM tails t WHERE NOT EXISTS (SELECT 1 FROM tails u WHERE u.stratum = t.stratum AND u.level >= t.level AND NOT u.passed) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({above}, false) AS kept FROM m LEFT JOIN certified c USING (stratum)"""
 
 
 def _spans_sql(rule: sec.Rule, place: int) -> str:

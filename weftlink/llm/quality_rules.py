@@ -1,11 +1,14 @@
 """Rule filter whose cutoffs are chosen by exact binomial tests on labelled documents.
 
-Each rule compares one measure of a text with a cutoff from a fixed grid. In every stratum (language) the
-good documents among the labelled ones tell how often a cutoff would reject a good document. A cutoff is
-certified when the exact binomial tail P(Bin(n, limit) <= rejected) is at most ``delta`` divided by the
-number of all tests (Bonferroni over strata, rules and cutoffs): then, with probability 1 - delta, no chosen
-cutoff rejects more than ``limit`` of the good documents of its stratum. The strictest certified cutoff is
-used; a stratum with too few labels keeps the rule off. ``risk`` is shared equally among the rules.
+Each rule compares one measure of a text with a cutoff; a grid gives every rule the same number of cutoffs, and its
+levels are nested: level by level all cutoffs get stricter. In every stratum (language) the good documents among the
+labelled ones tell how many of them a level would reject. Levels are tested in a fixed order, the loosest first, and
+testing ends with the first one that fails: a level is certified if it and all looser ones have an exact binomial tail
+P(Bin(n, risk) <= rejected) of at most ``delta`` divided by the number of strata. A fixed sequence needs no correction
+for the number of its tests, Bonferroni covers the strata: with probability 1 - delta, in no stratum do the chosen
+cutoffs together reject more than ``risk`` of the good documents that pass the base rule. The strictest certified
+level is used; a stratum with too few labels (86 good ones at 0.05, 0.05 and four strata) has none, and there the base
+rule alone decides.
 
 Cases: a null or blank text has no words and fails the base rule; a null language is a stratum of its own;
 labels that are null or missing do not count, and a document with several labels counts as good only if all
@@ -15,6 +18,7 @@ the operator doesn't use are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +27,7 @@ from pyspark.sql import Window
 
 from .common import let, small, words, written
 
-#: Measure of each rule and its cutoffs, the strictest first. A document is rejected above the cutoff.
+#: Measure of each rule and its cutoffs, one for each level, the strictest first. A document is rejected above the cutoff.
 GRID: dict[str, tuple[float, ...]] = {
     "symbol_ratio": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3),
     "exclaim_ratio": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3),
@@ -61,7 +65,7 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = docs.select(
         "doc_id",
-        F.coalesce(F.col("lang"), F.lit("")).alias("stratum"),
+        F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang")).alias("stratum"),
         let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("rep"))).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("sym"),
@@ -101,23 +105,26 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
-    """``(stratum, <rule>: cutoff or null, ...)`` for every stratum with a good labelled document."""
+    """``(stratum, n, level, <rule>: cutoff, ...)`` of every stratum with a certified level."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    limit = risk / len(grid)
-    tests = [(rule, i, cut) for rule, cuts in grid.items() for i, cut in enumerate(cuts)]
-    wide = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(rule) > cut).alias(f"k_{rule}_{i}") for rule, i, cut in tests]
+    levels = range(min(map(len, grid.values())))
+    rejects = lambda level: functools.reduce(lambda a, b: a | b, [F.col(rule) > cuts[level] for rule, cuts in grid.items()])
+    counts = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(rejects(level)).alias(f"k{level}") for level in levels]
     )
-    wide = wide.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()) * len(tests))  # one row a stratum
-    long = wide.select("stratum", "n", "tests", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"k_{rule}_{i}").alias("k")) for rule, i, cut in tests])))
-    passed = long.where(binomial_tail(F.col("n"), F.col("k"), limit) <= delta / F.col("tests"))
-    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in grid])
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # one row a stratum
+    passed = lambda level: binomial_tail(F.col("n"), F.col(f"k{level}"), risk) <= delta / F.col("strata")
+    chosen = F.lit(None).cast("int")
+    for level in levels:  # from the strictest to the loosest, so that the loosest is asked first
+        chosen = F.when(passed(level), F.coalesce(chosen, F.lit(level)))
+    held = counts.select("stratum", "n", chosen.alias("level")).where("level IS NOT NULL")
+    return held.select("*", *[F.get(F.array(*[F.lit(c) for c in cuts]), F.col("level")).alias(f"cut_{rule}") for rule, cuts in grid.items()])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
     """Measures of every document, the cutoffs of its stratum and ``kept``."""
     measured = written(measures(docs), "quality-measures")
-    cutoffs = written(certify(measured, labels, risk, delta, grid), "quality-cutoffs")
+    cutoffs = written(certify(measured, labels, risk, delta, grid).drop("n", "level"), "quality-cutoffs")
     above = F.lit(False)
     for rule in grid:
         above = above | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))

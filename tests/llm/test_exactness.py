@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftlink.llm import components, fingerprints, kernels, language_id, mixing, near_dups, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
+from weftlink.llm import components, features, fingerprints, kernels, language_id, mixing, near_dups, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -175,10 +175,54 @@ def test_repeated_passages_are_removed_once(make):
 
 
 def test_layout_and_case_do_not_hide_a_repeat(make):
+    """White space inside sentences and the case of letters don't matter; a line end ends a sentence."""
     rng = random.Random(6)
-    body = ". ".join(prose(rng, 12) for _ in range(5)) + "."
-    found = substring_dedup.contract(make([(1, body), (2, body.replace(" ", "\n ").upper() + "***")])).collect()
-    assert {r["doc_id"] for r in found} <= {2}
+    sentences = [prose(rng, 12) + "." for _ in range(5)]
+    body, other = " ".join(sentences), " \t ".join(x.replace(" ", "  ").upper() for x in sentences)
+    broken = "\n".join(sentences)
+    rows = [(1, body), (2, other), (3, broken), (4, body.replace(" ", "\n "))]
+    found = {r["doc_id"]: (r["first_sentence"], r["n_sentences"], r["first_doc_ids"]) for r in substring_dedup.contract(make(rows)).collect()}
+    assert found == {2: (0, 5, [1]), 3: (0, 5, [1])}
+
+
+def _sentence_words(text):
+    parts = re.split(r"((?:[.!?][!-/:-@\[-`{-~]*(?=[ \t-\r])|\n)[ \t-\r]*)", text)
+    joined = ["".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return [tuple(WORD.findall(x.lower())) for x in joined if x]
+
+
+def _removed(texts, run, least):
+    """Brute force: the sentences that a later occurrence of a repeated run covers (runs: least ones, to both sides)."""
+    runs = []
+    for d, text in enumerate(texts):
+        s = _sentence_words(text)
+        spans = set()
+        for i in range(len(s)):
+            if s[i]:
+                ends = [j for j in range(i + run, len(s) + 1) if sum(map(len, s[i:j])) >= least]
+                spans |= {(i, ends[0])} if ends else set()
+                begins = [j for j in range(i - run + 1, -1, -1) if sum(map(len, s[j : i + 1])) >= least and s[j]]
+                spans |= {(begins[0], i + 1)} if begins else set()
+        if not spans and any(s):
+            spans = {(0, len(s))}
+        runs += [(tuple(w for x in s[a:b] for w in x), d, a, b) for a, b in spans]
+    first, covered = {}, collections.defaultdict(set)
+    for words, d, a, b in sorted(runs, key=lambda x: x[1:]):
+        if first.setdefault(words, (d, a)) != (d, a):
+            covered[d] |= set(range(a, b))
+    return covered
+
+
+def test_substring_dedup_against_brute_force(make):
+    rng = random.Random(44)
+    pool = [prose(rng, rng.choice([1, 2, 4, 9, 14, 27])).capitalize() + rng.choice([".", "!", "?", ".\n"]) for _ in range(25)]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(80)]
+    for least in (1, 10, 25):
+        got = collections.defaultdict(set)
+        rows = make(list(enumerate(texts))).withColumn("row", substring_dedup.F.col("doc_id"))
+        for r in substring_dedup.removed_spans(rows, 2, least).collect():
+            got[r["doc_id"]] |= set(range(r["first_sentence"], r["first_sentence"] + r["n_sentences"]))
+        assert got == _removed(texts, 2, least), least
 
 
 def test_a_passage_is_removed_to_its_ends(make):
@@ -223,6 +267,10 @@ def test_fingerprints_estimate_generalised_jaccard(make):
         errors.append(got[d]["near_edited"] - true)
     assert abs(float(np.mean(errors))) < 0.03 and max(map(abs, errors)) < 0.2
     assert got[30]["fingerprint"] == got[3]["fingerprint"] == fingerprints.fingerprint(make(rows[3:4]), 128).first()["fingerprint"]
+    for i, d in enumerate(order):
+        mine, other = (got[x]["fingerprint"] for x in (d, order[(i + 1) % len(order)]))
+        cut = lambda f: [f[j : j + 8] for j in range(0, len(f), 8)]
+        assert got[d]["near_next"] == sum(x == y for x, y in zip(cut(mine), cut(other))) / 128
 
 
 # Secrets
@@ -258,6 +306,41 @@ def test_redaction(make):
     assert (got[2]["text"], got[3]["text"]) == ("clean", None)
 
 
+def test_many_secrets_in_a_long_text(make, monkeypatch):
+    """Overlapping spans, spans across the ends of parts, parts with none, and a great many of them."""
+    rng = random.Random(23)
+    bits = ["token=" + "0f" * 14, "deadbeef" * 3, "é漢", "word", "password: hunter22", "AKIA" + "A1" * 9, "ab" * 40]
+    texts = [" ".join(rng.choices(bits, k=n)) for n in (1, 2, 3, 60, 500)] + ["plain " * 50 + "deadbeef" * 4 + " plain" * 50]
+
+    def masked(text):
+        out, at = "", 0
+        for a, _, b in _spans(text):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:]
+
+    for part in (16, 4096):
+        monkeypatch.setattr(secrets, "PART", part)
+        got = {r["doc_id"]: r["text"] for r in secrets.redact(make(list(enumerate(texts))), secrets.BASE).collect()}
+        assert got == {i: masked(t) for i, t in enumerate(texts)}
+    dump = " ".join("0123456789abcdef" * 2 for _ in range(20_000))
+    row = secrets.contract(make([(1, dump)])).first()
+    assert row["n_hex"] == 20_000 and row["spans"].endswith(f"hex:{len(dump) - 32}:{len(dump)}")
+    assert secrets.redact(make([(1, dump)])).first()["text"] == " ".join(["[SECRET]"] * 20_000)
+
+
+def test_running_totals(spark):
+    from pyspark.sql import functions as F
+
+    from weftlink.llm.common import running
+
+    values = [[], [3], [1, 2], [5, 1, 4, 4, 2, 9, 0], list(range(1000))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<int>")
+    got = {r["i"]: (r["s"], r["m"]) for r in df.select("i", running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), F.greatest).alias("m")).collect()}
+    assert got == {i: (list(itertools.accumulate(v)), list(itertools.accumulate(v, max))) for i, v in enumerate(values)}
+
+
 def test_trigram_queries():
     query = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert query["hex"] is None and query["access"] == [frozenset({"aki", "kia"})]
@@ -280,13 +363,62 @@ def test_mix_targets_and_limits(make):
     assert all(sizes[d] == s for d, s in zip(got["doc_id"], got["size"])) and (got["taken"] <= 3 * got["size"]).all()
     got["source"] = [dict((r[0], r[3]) for r in rows)[d] for d in got["doc_id"]]
     by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("source_size", "first"))
-    assert (abs(by["taken"] - by["target"]) <= mixing.BLOCK + 0.01 * by["target"]).all()
+    assert (abs(by["taken"] - by["target"]) <= 0.5).all()
     assert abs(by["target"].sum() - got["size"].sum()) < 1e-6 and by["target"].loc["zz"] == 6
 
 
-def test_shard_draws_and_permutations():
-    counts = mixing.draw_shards(np.array([1000, 10, 0, 5000]), 256, 3)
-    assert counts.sum(axis=0).tolist() == [1000, 10, 0, 5000] and (counts.sum(axis=1)[:-1] == 256).all()
+def _targets(sizes, most=3):
+    """Brute force: share by weight, stop at the cap, share the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in full)
+        level = left / (sum(weight[s] for s in order if s not in full) or 1)
+        over = {s for s in order if s not in full and level * weight[s] > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in full else level * weight[s] for s in order}
+        full |= over
+
+
+@pytest.mark.parametrize("fan", [1000, 3])
+def test_mix_against_brute_force(make, fan, monkeypatch):
+    """The words of every document, from passes over permuted blocks; sources drawn in one and in several levels."""
+    monkeypatch.setattr(mixing, "FAN", fan)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    rng = random.Random(17)
+    sources = [None, "", *"abcdefghijk", "tiny"]
+    rows = [(i, prose(rng, rng.choice([0, 1, 7, 64, 300])), "en", rng.choice(sources[:-1])) for i in range(150)] + [(500, "six words are here for you", "en", "tiny")]
+    got = {r["doc_id"]: r for r in mixing.contract(make(rows)).collect()}
+    words = {i: len(t.split()) for i, t, *_ in rows}
+    sizes = {s: sum(words[r[0]] for r in rows if r[3] == s) for s in sources}
+    want = _targets(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    for sid, s in enumerate(order, 1):
+        stream = [r[0] for r in sorted((r for r in rows if r[3] == s), key=lambda r: r[0]) for _ in range(words[r[0]])]
+        blocks = [stream[a : a + 64] for a in range(0, len(stream), 64)]
+        taken, turn, left = collections.Counter(), 0, round(want[s])
+        while left > 0 and blocks:
+            for b in mixing._permute(np.arange(len(blocks)), len(blocks), mixing._source_key(sid, turn, mixing.SEED)).tolist():
+                taken.update(blocks[b][:left])
+                left -= len(blocks[b][:left])
+            turn += 1
+        for r in (r for r in rows if r[3] == s):
+            assert got[r[0]]["target"] == pytest.approx(want[s]) and got[r[0]]["source_size"] == sizes[s]
+            assert got[r[0]]["taken"] == taken[r[0]], (s, r[0])
+    assert got[500]["taken"] == round(want["tiny"])
+
+
+def test_shard_draws_and_permutations(spark, monkeypatch):
+    sizes = np.array([256] * 23 + [122])
+    counts = mixing.draw_shards(np.array([1000, 10, 0, 5000]), sizes, [3])
+    assert counts.sum(axis=0).tolist() == [1000, 10, 0, 5000] and counts.sum(axis=1).tolist() == sizes.tolist()
+    monkeypatch.setattr(mixing, "FAN", 4)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    quotas = {i: (i * 37) % 90 for i in range(1, 41)}
+    drawn = mixing.shard_counts(spark.createDataFrame(list(quotas.items()), "node long, quota long"), 5).toPandas()
+    assert drawn.groupby("node")["n"].sum().to_dict() == {i: q for i, q in quotas.items() if q}
+    assert (drawn.groupby("shard")["n"].sum().sort_index().iloc[:-1] == 100).all() and drawn["shard"].nunique() == -(-sum(quotas.values()) // 100)
     for n in (1, 2, 3, 100, 1000):
         x = np.arange(n)
         y = mixing._permute(x, n, 77)
@@ -318,7 +450,6 @@ def test_encoder_equals_the_tokenizer(text):
 
     text = text.encode("utf-8", "ignore").decode()
     whole = Tokenizer.from_file(_path())
-    whole.encode_special_tokens = True
     assert np.frombuffer(packing.encoder(_path())(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
@@ -327,7 +458,7 @@ def test_encoder_on_prose(monkeypatch):
 
     monkeypatch.setattr(packing, "CACHED", 50)
     whole, own = Tokenizer.from_file(_path()), packing.Encoder(_path())
-    for text in ("It's the LAST word!! don't we'll 'street #12 café ÉCOLE straße", "ΟΔΥΣΣΕΥΣ Σ a\x1cb c d  e", "Größe naïve ümläut " * 30, "İstanbul ẞ ﬁ ½ ² Ⅷ"):
+    for text in ("It's the LAST word!! don't we'll 'street #12 café ÉCOLE straße", "ΟΔΥΣΣΕΥΣ Σ a\x1cb c d  e", "Größe naïve ümläut " * 30, "İstanbul ẞ ﬁ ½ ² Ⅷ", "hello <|endoftext|> world", "ΟΣ<|startoftext|>x<|endoftext|><|ENDOFTEXT|>", "<|endoftext|>"):
         assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
@@ -387,6 +518,67 @@ def test_held_out_labels_do_not_matter(make, spark):
     assert one.equals(two)
 
 
+def test_toxicity_statistics_against_brute_force():
+    rng = random.Random(41)
+    texts = [prose(rng, 30) + (" vile fool" if i % 4 == 0 else "") for i in range(200)]
+    labels = np.array([int(i % 4 == 0) for i in range(200)])
+    grams = lambda t: {t.lower()[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)}
+    of = {g: int(b) for n in toxicity.SIZES for t in texts for g in grams(t) if len(g) == n for b in features.gram_buckets(features.code_points([g])[0], n, toxicity.BITS)}
+    mine = list(toxicity.present([*texts, "", "ab"]))
+    assert [sorted(x.tolist()) for x in mine] == [sorted({of[g] for g in grams(t)}) for t in texts] + [[], []]
+    toxic, other = (np.bincount(np.concatenate([b for b, y in zip(mine, labels) if y == k]), minlength=1 << toxicity.BITS) for k in (1, 0))
+    r = toxicity.log_ratios(toxic, other, 50.0, 150.0)
+    has = [of["vile"] in x for x in mine[:200]]
+    assert r[of["vile"]] == pytest.approx(np.log((sum(has[::4]) + 1) / 52) - np.log((sum(has) - sum(has[::4]) + 1) / 152))
+    model = toxicity.fit(pa.array(texts), labels)
+    assert model.weights[of["vile"]] > 0 and np.count_nonzero(model.weights) < 200
+    scores = model.scores(texts)
+    for i in (0, 1, 2, 8):
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(model.intercept + sum(float(model.weights[b]) for b in {of[g] for g in grams(texts[i])})))), rel=1e-5)
+    assert ((scores >= 0.5) == (labels == 1)).all()
+
+
+def test_the_minimiser_finds_the_minimum():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(60, 8))
+    y = (a @ rng.normal(size=8) + rng.normal(size=60) > 0).astype(float)
+
+    def loss(w):
+        s = a @ w
+        return float((np.logaddexp(0, s) - y * s).mean() + 0.05 * w @ w), a.T @ (1 / (1 + np.exp(-s)) - y) / len(y) + 0.1 * w
+
+    w = features.minimised(loss, np.zeros(8), 100)
+    assert np.abs(loss(w)[1]).max() < 1e-3 and all(loss(w)[0] <= loss(w + 0.01 * rng.normal(size=8))[0] for _ in range(50))
+
+
+def test_quality_likelihood_against_brute_force():
+    """The gradient is that of the cumulative-link likelihood, and grades follow from it."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 5)).astype(np.float32), rng.integers(0, 3, 40)
+    w, raw = rng.normal(size=5), np.array([-0.3, 0.2])
+
+    def loss(w, raw):
+        t = [raw[0], raw[0] + np.exp(raw[1])]
+        total = 0.0
+        for row, grade in zip(x, y):
+            above = [1.0, *[1 / (1 + np.exp(-(float(row @ w) - c))) for c in t], 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(y) + quality_classifier.RIDGE / 2 * float(w @ w)
+
+    gw, graw = quality_classifier.gradient(x, y, w, raw, 3)
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-5
+        slope = (loss(w + step[:5], raw + step[5:]) - loss(w - step[:5], raw - step[5:])) / 2e-5
+        assert slope == pytest.approx(np.concatenate([gw, graw])[i], abs=2e-4)
+    texts = ["a b c", "a a a", "", "b\nb\n"]
+    model = quality_classifier.Model(rng.normal(size=quality_classifier._WIDTH), np.array([-0.5, 0.7]), np.array([0.0, 1.0, 2.0]))
+    expected, tail = model.judge(texts)
+    line = quality_classifier._dense(texts) @ model.weights
+    p1, p2 = 1 / (1 + np.exp(-(line + 0.5))), 1 / (1 + np.exp(-(line - 0.7)))
+    assert expected == pytest.approx(p1 + p2, abs=1e-4) and tail == pytest.approx(p1, abs=1e-4)
+
+
 def test_quality_grades_on_held_out(make, spark):
     rng = random.Random(2)
     kinds = [lambda: " ".join(f"{w}###" for w in prose(rng, 80).split()), lambda: prose(rng, 80).upper() + "!!", lambda: prose(rng, 80)]
@@ -468,13 +660,57 @@ def test_quality_measures_against_python(make, spark):
 
 def test_rules_keep_good_documents(make, spark):
     rng = random.Random(13)
-    rows = [(i, prose(rng, 100) if i % 5 else " ".join(f"{w}####" for w in prose(rng, 100).split())) for i in range(4000)]
-    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(3500)], "doc_id long, quality int, toxic int")
+    rows = [(i, prose(rng, 100) if i % 5 else " ".join(f"{w}####" for w in prose(rng, 100).split())) for i in range(700)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
     got = quality_rules.contract(make(rows), labels).toPandas()
     good = got["doc_id"] % 5 > 0
     assert got[good]["kept"].mean() > 0.95 and got[~good]["kept"].mean() < 0.05
 
 
+def test_levels_are_tested_in_order(spark):
+    """Against brute force: the strictest level that passes with all looser ones, by exact tails over the strata."""
+    from math import comb
+
+    grid = {"a": (0.1, 0.2, 0.3, 0.4), "b": (1.0, 2.0, 3.0, 4.0)}
+    rng = random.Random(19)
+    rows, n = [], 0
+    for stratum, size, bad in (("", 200, 0.0), ("=x", 90, 0.0), ("=y", 60, 0.0), ("=z", 400, 0.03), ("=w", 300, 0.3)):
+        for _ in range(size):
+            rows.append((n, stratum, rng.random() < 0.1, rng.choice([0.05, 0.15] if rng.random() < bad else [0.05]), 2.5 if rng.random() < bad else 0.5))
+            n += 1
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, a double, b double")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    got = {r["stratum"]: r["level"] for r in quality_rules.certify(measured, labels, 0.05, 0.05, grid).collect()}
+    want = {}
+    for s in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == s and not r[2]]
+        for level in (3, 2, 1, 0):
+            k = sum(r[3] > grid["a"][level] or r[4] > grid["b"][level] for r in mine)
+            if k >= 0.05 * len(mine) or sum(comb(len(mine), i) * 0.05**i * 0.95 ** (len(mine) - i) for i in range(k + 1)) > 0.05 / 5:
+                break
+            want[s] = level
+    assert got == want and set(want) >= {"", "=z"} and "=y" not in want and want["=w"] > 0
+
+
+def test_certified_rules_equal_the_sql(make, spark, tmp_path):
+    """On a table where levels are certified and reject, the query and its SQL agree row by row."""
+    import duckdb
+
+    from weftlink.llm.oracles import SQL
+
+    rng = random.Random(29)
+    texts = [prose(rng, rng.randint(40, 120)) + " #" * rng.choice([0, 0, 0, 1, 2, 30, 200]) for _ in range(1600)]
+    docs = make([(i, t, rng.choice(["en", "de", None, ""]), "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(t.count("#") < 3), 0) for i, t in enumerate(texts) if i % 2], "doc_id long, quality int, toxic int")
+    got = quality_rules.contract(docs, labels).toPandas().sort_values("doc_id").reset_index(drop=True)
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duckdb.sql(SQL["op9_quality_rules"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert (got["kept"] == want["kept"]).all() and (got["n_symbols"] == want["n_symbols"]).all()
+    assert (~got["kept"] & ~got["base_failed"]).sum() > 20
+
+
 def test_a_large_group_does_not_end_the_merging(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_ITEMS", 100)
     full = [(home, 60) for home in range(8) for _ in range(30)]  # 240 items that fit no other
@@ -495,4 +731,4 @@ def test_small_sources_get_their_whole_passes(make):
     got = {"abcde"[r["doc_id"]]: r for r in mixing.contract(make([(i, prose(rng, n), "en", s) for i, (s, n) in enumerate(sizes.items())])).collect()}
     assert {s: got[s]["target"] for s in "abde"} == {"a": 30, "b": 195, "d": 0, "e": 3}
     assert {s: got[s]["taken"] for s in "abde"} == {"a": 30, "b": 195, "d": 0, "e": 3}
-    assert abs(got["c"]["taken"] - got["c"]["target"]) <= mixing.BLOCK
+    assert abs(got["c"]["taken"] - got["c"]["target"]) <= 0.5

@@ -89,6 +89,24 @@ class Model:
         return expected, tail
 
 
+def _thresholds(raw: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and logarithms of the gaps."""
+    return np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+
+
+def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, raw: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log likelihood with the ridge, by the weights and by ``raw``; ``y`` numbers the grades."""
+    t, rows = _thresholds(raw), np.arange(len(y))
+    below = _logistic(t[None, :] - (x @ w.astype(np.float32))[:, None])
+    edge = np.zeros((len(y), 1))
+    cdf, dens = np.concatenate([edge, below, edge + 1], axis=1), np.concatenate([edge, below * (1 - below), edge], axis=1)
+    p = np.maximum(cdf[rows, y + 1] - cdf[rows, y], 1e-9)
+    up, low = dens[rows, y + 1] / p, dens[rows, y] / p
+    gw = x.T @ ((up - low) / len(y)).astype(np.float32) + RIDGE * w
+    gt = np.array([(-(up * (y == j)) + low * (y == j + 1)).mean() for j in range(grades - 1)])
+    return gw, np.concatenate([[gt.sum()], [gt[j:].sum() * np.exp(raw[j]) for j in range(1, grades - 1)]])
+
+
 def fit(texts: list[str], ratings: np.ndarray) -> Model:
     grades, y = np.unique(ratings, return_inverse=True) if len(ratings) else (np.array([0]), np.zeros(0, np.int64))
     grades = grades.astype(np.float64)
@@ -101,28 +119,15 @@ def fit(texts: list[str], ratings: np.ndarray) -> Model:
     x = (x - mean) * scale
     share = np.cumsum(np.bincount(y, minlength=len(grades)))[:-1] / len(y)
     t0 = np.log(share / (1 - share))
-    # Thresholds are the first one and logarithms of the gaps, so that they stay ordered.
     params = [np.zeros(x.shape[1]), np.concatenate([t0[:1], np.log(np.maximum(np.diff(t0), 1e-3))])]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    rows = np.arange(len(y))
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        w, raw = params
-        t = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        below = _logistic(t[None, :] - (x @ w.astype(np.float32))[:, None])
-        cdf = np.concatenate([np.zeros((len(y), 1)), below, np.ones((len(y), 1))], axis=1)
-        dens = np.concatenate([np.zeros((len(y), 1)), below * (1 - below), np.zeros((len(y), 1))], axis=1)
-        p = np.maximum(cdf[rows, y + 1] - cdf[rows, y], 1e-9)
-        up, low = dens[rows, y + 1] / p, dens[rows, y] / p
-        gw = x.T @ ((up - low) / len(y)).astype(np.float32) + RIDGE * w
-        gt = np.array([(-(up * (y == j)) + low * (y == j + 1)).mean() for j in range(len(t))])
-        graw = np.concatenate([[gt.sum()], [gt[j:].sum() * np.exp(raw[j]) for j in range(1, len(t))]])
-        for i, g in enumerate((gw, graw)):
+        for i, g in enumerate(gradient(x, y, *params, len(grades))):
             m, v = moments[i]
             m[:], v[:] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             params[i] = params[i] - 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     w, raw = params
-    t = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-    return Model(w * scale, t + float((w * scale) @ mean), grades)
+    return Model(w * scale, _thresholds(raw) + float((w * scale) @ mean), grades)
 
 
 def _batches(texts: list[str], n: int) -> Iterator[list[str]]:

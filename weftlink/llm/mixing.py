@@ -221,7 +221,8 @@ def taken_parts(rows: DataFrame, block: int = BLOCK, most: int = MOST, seed: int
     spans = spans.select("row", "size", "sid", "block", F.greatest(begin - F.col("at"), F.lit(0)).alias("start"), F.least(begin + block - F.col("at"), F.col("size")).alias("end"), F.greatest(F.col("at") - begin, F.lit(0)).alias("ahead"))
     drawn = slots(plan, block, seed).select("sid", "block", "turn", "words")
     n = F.least(F.col("end") - F.col("start"), F.col("words") - F.col("ahead"))
-    parts = spans.join(drawn, ["sid", "block"]).select("row", "size", "turn", "start", n.alias("n")).where("n > 0")
+    # Slots are made from a small table, so their size would be underestimated and they would be broadcast.
+    parts = spans.join(drawn.hint("merge"), ["sid", "block"]).select("row", "size", "turn", "start", n.alias("n")).where("n > 0")
     return placed, parts
 
 

@@ -602,25 +602,58 @@ def test_languages_on_held_out(make):
     assert out["score"].between(0, 1).all()
 
 
-def test_automaton_parses_like_brute_force():
+def test_parses_like_brute_force(monkeypatch):
+    """Several languages at once, whole texts and segments: phrases and unseen symbols by greedy search in the samples."""
     rng = random.Random(7)
-    sample = "".join(rng.choice("abc ") for _ in range(300)).strip()
-    model = language_id.fit({"x": [sample]})
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    samples = {lang: [" ".join(word(letters) for _ in range(n)) for _ in range(2)] for lang, letters, n in (("x", "abc", 60), ("y", "abdé", 30), ("z", "c", 5))}
+    model = language_id.fit(samples)
     parser = language_id.Parser(model)
-    symbols = parser.symbols([sample])[0].tolist()
-    known = {tuple(symbols[i:j]) for i in range(len(symbols)) for j in range(i + 1, len(symbols) + 1)}
-    for _ in range(20):
-        test = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 200)))
-        s = parser.symbols([test])[0].tolist()
-        count, at = 0, 0
-        while at < len(s):
-            end = at + 1
-            while end <= len(s) and tuple(s[at:end]) in known:
-                end += 1
-            end = max(end - 1, at + 1)
-            count, at = count + 1, end
-        got = parser.phrases([test])[0][0][0]
-        assert abs(got - count) <= 1 + sum(c == language_id.OTHER or (c,) not in known for c in s)
+    reader = language_id.lookup(model.alphabet)
+    known = {}
+    for lang in samples:
+        s = language_id.symbols_of(samples[lang], *reader)[0].tolist()
+        known[lang] = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, min(len(s), i + 40) + 1)}
+    texts = [" ".join(word("abcdéq") for _ in range(rng.randint(1, 40))) for _ in range(25)] + ["", "  ", "aQ漢"]
+    for segment in (256, 7):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        count, unseen, sizes, has = parser.phrases(texts)
+        for i, text in enumerate(texts):
+            s = language_id.symbols_of([text], *reader)[0].tolist()
+            assert sizes[i] == len(s) and has[i] == any(c.isalpha() for c in text)
+            for k, lang in enumerate(model.langs):
+                want = odd = 0
+                for lo in range(0, len(s), segment):
+                    part, at = s[lo : lo + segment], 0
+                    while at < len(part):
+                        end = at
+                        while end < len(part) and tuple(part[at : end + 1]) in known[lang]:
+                            end += 1
+                        odd += end == at
+                        want, at = want + 1, max(end, at + 1)
+                assert (count[k][i], unseen[k][i]) == (want, odd), (lang, text)
+
+
+def test_tiny_samples_win_nothing():
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(80)] for lang, letters in (("en", "etaoinshrd"), ("fr", "esaitnruloéè"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    samples = {lang: [text(lang, 300) for _ in range(10)] for lang in words}
+    odd = {"a0": [""], "a1": ["123"], "a2": ["ab"], "a3": [], "a4": ["e t"], "a5": ["??"]}
+    parser = language_id.Parser(language_id.fit(samples | odd))
+    assert set(parser.model.langs) == {"en", "fr", "a2", "a4"}
+    for lang in words:
+        assert parser.judge([text(lang, n) for n in (4, 10, 50, 400)])[0] == [lang] * 4
+    assert language_id.Parser(language_id.fit(odd | {"a2": [], "a4": []})).judge(["abc"])[0] == ["und"]
+
+
+def test_long_documents_are_sampled_whole_or_not_at_all(make):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30), "en") for i in range(100)] + [(i, prose(rng, 30).upper() + "漢" * 9000, "xx") for i in range(200, 204)] + [(i, prose(rng, 2000) + "字", "en") for i in range(300, 400)]
+    model = language_id.train(make(rows))
+    assert "漢" in model.alphabet and "字" not in model.alphabet
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200, 204))
+    assert model.langs == ["en", "xx"] and model.lengths[1] >= 9000 * learned
 
 
 # Quality rules

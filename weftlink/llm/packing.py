@@ -39,8 +39,8 @@ CAPACITY, END_ID = 4096, 1
 FAN, MOST_ITEMS = 8, 200_000
 #: Share of the capacity from which a sequence is emitted, by round; the last one holds for later rounds too.
 FULL = (0.998, 0.99, 0.97)
-#: Words and pieces of words whose ids a worker keeps (in two generations: the older one goes when the newer is full).
-CACHED = 150_000
+#: Words and pieces of words whose ids a worker keeps (in two generations of so many: the older one goes when the newer is full).
+CACHED = 300_000
 
 # What the tokenizer file's pattern does to lower-case words of Latin letters; other words go to it whole.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -82,28 +82,25 @@ class Encoder:
         self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
         # Tokens that are matched in normalised text or take white space with them need the whole tokenizer.
         self._exact = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
-        self._words, self._pieces = _Cache(CACHED), _Cache(CACHED)
-
-    def _piece(self, piece: str) -> bytes:
-        out = self._pieces.new.get(piece)
+        self._ids = _Cache(CACHED)
+
+    def _known(self, word: str) -> bytes:
+        """Ids of a word or a piece of one, in lower case unless it goes to the tokenizer."""
+        out = self._ids.new.get(word)
+        if out is not None:
+            return out
+        out = self._ids.old.get(word)
         if out is None:
-            out = self._pieces.old.get(piece)
-            if out is None:
-                shown = piece if piece.isascii() else "".join(map(_STANDS.__getitem__, piece.encode()))
+            if not _PLAIN.fullmatch(word):
+                out = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif len(pieces := _PIECES.findall(word)) > 1:
+                out = b"".join(map(self._known, pieces))
+            else:
+                shown = word if word.isascii() else "".join(map(_STANDS.__getitem__, word.encode()))
                 ids = [token.id for token in self._model.tokenize(shown)]
                 out = struct.pack(f"<{len(ids)}I", *ids)
-            self._pieces.put(piece, out)
-        return out
-
-    def _word(self, word: str) -> bytes:
-        out = self._words.new.get(word) or self._words.old.get(word)
-        if out is None:
-            if _PLAIN.fullmatch(word):
-                out = b"".join(map(self._piece, _PIECES.findall(word.lower())))
-            else:
-                out = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
-            self._words.put(word, out)
+            self._ids.put(word, out)
         return out
 
     def __call__(self, text: str | None) -> bytes:
@@ -117,12 +114,15 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if "Σ" not in text:  # the one letter whose lower case depends on its neighbours
+        if lowered := "Σ" not in text:  # the one letter whose lower case depends on its neighbours
             text = text.lower()
         split = _BREAKS.split(text) if any(c in text for c in _ODD) else text.split()
-        out = list(map(self._words.new.get, split))
+        out = list(map(self._ids.new.get, split))
         if None in out:
-            out = [self._word(w) if x is None else x for w, x in zip(split, out)]
+            known = self._known
+            if not lowered:
+                split = [w.lower() if _PLAIN.fullmatch(w) else w for w in split]
+            out = [known(w) if x is None else x for w, x in zip(split, out)]
         return b"".join(out)
 
 

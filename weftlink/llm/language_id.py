@@ -36,7 +36,7 @@ from .features import chunks, crc32_of, trimmed
 FIT_DOCS, FIT_LENGTH = 48, 6000
 SEGMENT = 256
 SPACE = 0
-_POINTS = 0x110000
+_POINTS, _MEETINGS = 0x110000, 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,9 +240,13 @@ def fit(samples: dict[str, list[str]]) -> Model:
 def train(docs: DataFrame) -> Model:
     """Learn from documents with a lang that are not held out (crc32 of the id as text, mod 4, is not 2)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_of("doc_id") % 4 != 2))
-    order = Window.partitionBy("_lang").orderBy(F.greatest("_n", F.lit(FIT_LENGTH)), F.xxhash64("doc_id"), "doc_id", "_h")
+    order = F.greatest(F.col("_n"), F.lit(FIT_LENGTH)), F.xxhash64("doc_id"), F.col("doc_id"), F.col("_h")
     ids = known.select("doc_id", F.col("lang").alias("_lang"), F.length("text").alias("_n"), F.xxhash64("text").alias("_h")).distinct()
-    ids = ids.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= FIT_DOCS).select("doc_id", "_lang", "_h")
+    # The first of each partition meet in _MEETINGS tasks a language, the first of those in one.
+    ids = ids.withColumn("_part", F.spark_partition_id() % _MEETINGS)
+    for group in (["_lang", "_part"], ["_lang"]):
+        ids = ids.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_at") <= FIT_DOCS)
+    ids = ids.select("doc_id", "_lang", "_h")
     picked = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("_t")).join(small(ids), "doc_id").where("lang = _lang AND _t = _h")
     samples: dict[str, list[str]] = {}
     rows = picked.groupBy("lang", "doc_id", "_t").agg(F.first("text").alias("text")).orderBy("lang", F.xxhash64("doc_id"), "_t")  # FIT_DOCS a language at most

@@ -19,6 +19,8 @@ NULL_KEY = -(2**63)
 BROADCAST_ROWS = 10_000
 
 
+#: Places that running totals take together.
+_RUN = 128
 #: Rows and bytes of a batch that goes to Python: texts are long, and a worker holds a batch several times over.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -41,19 +43,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """The running totals of an array under an associative ``op``: total i covers places 0 to i.
+    """The running totals of an array of numbers from 0 on, by a sum or a maximum: total i covers places 0 to i.
 
-    Totals over 1, 2, 4, ... places, each from two of the ones before: log2(size) passes, no array is copied per place.
+    Blocks of ``_RUN`` places are totalled first, then their totals; a place adds what its own block has before it. So
+    the work is in proportion to the size (up to ``_RUN`` cubed places), and no array is copied once a place.
     """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: op(a, b))
 
-    def doubled(width: int) -> Callable[[Column], Column]:
-        def totals(s: Column) -> Column:
-            wider = F.transform(s, lambda x, i: F.when(i >= width, op(F.get(s, i - width), x)).otherwise(x))
-            return F.when(F.size(s) > width, let(wider, doubled(2 * width)) if width < 1 << 30 else wider).otherwise(s)
+    def totals(s: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _RUN).cast("int")), lambda k: total(F.slice(s, k * _RUN + 1, _RUN)))
+        ahead = let(blocks, lambda b: F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k))))
+        block = lambda i: F.floor(i / _RUN).cast("int")
+        return F.when(F.size(s) < 2, s).otherwise(let(ahead, lambda a: F.transform(s, lambda _, i: op(F.get(a, block(i)), total(F.slice(s, block(i) * _RUN + 1, i % _RUN + 1))))))
 
-        return totals
-
-    return let(values, doubled(1))
+    return let(values, totals)
 
 
 def words(text: Column) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, text_batches, written
+from .common import NULL_KEY, small, text_batches, written
 from .components import components
 from .features import trimmed
 from .kernels import bodies, mix, shingles, word_hashes
@@ -120,6 +120,11 @@ def _near(common: np.ndarray | int, p: int, q: np.ndarray | int, per_mille: int)
     return 1000 * common >= per_mille * (p + q - common)
 
 
+def _of(table: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The rows of ``table`` (cid, ...) that one side of written ``pairs`` names, before any of them is shuffled if they are few."""
+    return table.join(small(pairs.select(F.col(side).alias("cid")).distinct()), "cid", "left_semi")
+
+
 def verified(pairs: DataFrame, full: DataFrame, shingle_words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets reach the threshold. ``full``: (cid, text)."""
     per_mille = round(threshold * 1000)
@@ -133,13 +138,13 @@ def verified(pairs: DataFrame, full: DataFrame, shingle_words: int, threshold: f
                 keep.append(_near(common, len(p), len(q), per_mille))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(full.select(F.col("cid").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(full.select(F.col("cid").alias("b"), F.col("text").alias("right")), "b")
+    one = pairs.join(_of(full, pairs, "a").select(F.col("cid").alias("a"), F.col("text").alias("left")), "a")
+    two = one.join(_of(full, pairs, "b").select(F.col("cid").alias("b"), F.col("text").alias("right")), "b")
     return two.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
 def _near_sketches(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    of = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"_{c}"))
+    of = lambda c: _of(classes, pairs, c).select(F.col("cid").alias(c), F.col("sketch").alias(f"_{c}"))
     flipped = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return pairs.join(of("a"), "a").join(of("b"), "b").where(flipped <= most).select("a", "b")
 
@@ -202,18 +207,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield table, ends
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, kind: type = np.uint64) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).view(np.uint64)  # bits of signed numbers count by their absolute value
+    return flat.reshape(len(column), -1).view(kind)  # bits of signed numbers count by their absolute value
 
 
 def _near_pairs(table: pa.Table, ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (left, right) of one group and of two labels whose sketches are near, left ascending.
 
-    A pair that shares several buckets is given by the first of their bands alone.
+    A pair that shares several buckets is given by the first of their bands alone, told by the low 32 bits of the bands.
     """
     bucket, p, q, block, label = (table[c].to_numpy() for c in ("bucket", "p", "q", "block", "label"))
-    sketch, bands, bucket = _matrix(table["sketch"]), _matrix(table["bands"]), bucket.view(np.uint64)
+    sketch, marks, mark = _matrix(table["sketch"]), _matrix(table["marks"], np.uint32), bucket.view(np.uint64).astype(np.uint32)
     count = ends - np.arange(len(ends)) - 1
     upto = np.cumsum(count)
     at = 0
@@ -227,8 +232,8 @@ def _near_pairs(table: pa.Table, ends: np.ndarray, most: int) -> Iterator[tuple[
         left, right = left[ok], right[ok]
         ok = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= most
         left, right = left[ok], right[ok]
-        first = (bands[left] == bands[right]).argmax(axis=1)
-        ok = bands[left, first] == bucket[left]
+        first = (marks[left] == marks[right]).argmax(axis=1)
+        ok = marks[left, first] == mark[left]
         yield left[ok], right[ok]
         at = stop
 
@@ -269,14 +274,14 @@ def _joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right
 def _block_links(members: DataFrame, classes: DataFrame, full: DataFrame, shingle_words: int, threshold: float, most: int) -> DataFrame:
     """``(a, b)``: links that join groups, found among the members of one bucket and two groups."""
     per_mille = round(threshold * 1000)
-    schema = "bucket long, p int, q int, block int, cid long, label long"
+    schema = "bucket long, p int, q int, block int, cid long, label long, sketch array<long>, marks array<int>"
 
     def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, ends in _whole_groups(batches):
             hit = np.zeros(len(table), dtype=bool)
             for left, right in _near_pairs(table, ends, most):
                 hit[left] = hit[right] = True
-            yield from table.select(["bucket", "p", "q", "block", "cid", "label"]).filter(pa.array(hit)).to_batches()
+            yield from table.filter(pa.array(hit)).to_batches()
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, ends in _whole_groups(batches):
@@ -298,13 +303,15 @@ def _block_links(members: DataFrame, classes: DataFrame, full: DataFrame, shingl
 
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    looks = classes.select("cid", "sketch", "bands")
+    marks = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))  # the low half
+    # Few classes are still open, as a rule: their ids are written, so that the planner knows how many they are.
+    open_ = written(members.select("cid").distinct(), "near-open-classes")
+    looks = classes.join(open_, "cid", "left_semi").select("cid", "sketch", marks.alias("marks"))
     rows = dealt.join(looks, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "label", "sketch", "bands")
+    rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "label", "sketch", "marks")
     sorted_ = lambda df: df.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
     left = written(sorted_(rows).mapInArrow(undecided, schema), "near-undecided")
-    again = left.join(looks, "cid").join(full.select("cid", "text"), "cid")
-    return sorted_(again).mapInArrow(confirmed, "a long, b long")
+    return sorted_(left.join(full, "cid")).mapInArrow(confirmed, "a long, b long")
 
 
 def _grouped(docs: DataFrame, shingle_words: int, threshold: float) -> DataFrame:
@@ -313,9 +320,10 @@ def _grouped(docs: DataFrame, shingle_words: int, threshold: float) -> DataFrame
     rows = written(signatures(docs, shingle_words), "near-signatures")
     sets = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("key", "th")).alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = written(sets.withColumn("cid", F.xxhash64("d1", "d2", "n")), "near-classes")
-    seats = classes.select("cid", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
+    seats = classes.select("cid", F.explode("bands").alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = written(seats.join(shared, "bucket"), "near-buckets")
+    members = seats.join(shared, "bucket").join(classes.select("cid", F.col("n").alias("size")), "cid")
+    members = written(members.select("cid", "size", "bucket"), "near-buckets")
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.key", "rep.th")
     # Repeated rows fold into one before the join, so that none of its keys is hot.
     texts = docs.select(_key().alias("key"), F.xxhash64("text").alias("th"), "text").groupBy("key", "th").agg(F.first("text").alias("text"))
@@ -335,7 +343,8 @@ def _grouped(docs: DataFrame, shingle_words: int, threshold: float) -> DataFrame
         open_members = written(_open(_labelled(members, labels)), "near-open")
         pivots = written(_pivots(open_members, used), "near-pivots")
         used = pivots.select("pivot").distinct() if used is None else used.union(pivots.select("pivot")).distinct()
-        pairs = written(_near_sketches(_pivot_pairs(open_members, pivots), classes, most), "near-pairs")
+        met = written(_pivot_pairs(open_members, pivots), "near-met")
+        pairs = written(_near_sketches(met, classes, most), "near-pairs")
         if not merged(written(verified(pairs, full, shingle_words, threshold), "near-links")):
             break
     open_members = written(_open(_labelled(members, labels)), "near-open")
@@ -361,17 +370,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thresho
 
 def deduplicated(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without all but one row of each group: the one with the least doc_id (of repeated rows, any one)."""
-    verdicts = written(_grouped(docs, shingle_words, threshold).where("n > 0"), "near-verdicts")
-    here = F.struct("key", "th")
-    gone = written(verdicts.where(here != F.col("rep")).select(F.col("key").alias("_weftlink_k"), F.col("th").alias("_weftlink_t")).distinct(), "near-removed")
-    again = verdicts.where(here == F.col("rep")).groupBy(F.col("key").alias("_weftlink_k"), F.col("th").alias("_weftlink_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = written(again, "near-repeated")
+    kept = F.col("rep").isNull() | (F.struct("key", "th") == F.col("rep"))
+    verdicts = written(_grouped(docs, shingle_words, threshold).withColumn("kept", kept), "near-verdicts")
+    # Nearly always an id alone decides; where rows that share one have several verdicts, or are kept twice, the text does.
+    by_id = verdicts.groupBy(F.col("key").alias("_weftlink_k")).agg(F.bool_or("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+    gone = written(by_id.where("NOT any").select("_weftlink_k"), "near-removed")
+    shared = written(by_id.where("any AND n > 1").select("_weftlink_k"), "near-shared")
+    left = docs.withColumn("_weftlink_k", _key()).join(gone, "_weftlink_k", "left_anti")
+    if shared.isEmpty():
+        return left.drop("_weftlink_k")
     on = ["_weftlink_k", "_weftlink_t"]
-    named = docs.withColumns({"_weftlink_k": _key(), "_weftlink_t": F.xxhash64("text")}).join(gone, on, "left_anti")
-    if again.isEmpty():
-        return named.drop(*on)
-    one = named.join(again, on, "left_semi").dropDuplicates(on)
-    return named.join(again, on, "left_anti").unionByName(one).drop(*on)
+    own = verdicts.join(shared, verdicts["key"] == shared["_weftlink_k"], "left_semi").select(F.col("key").alias("_weftlink_k"), F.col("th").alias("_weftlink_t"), "n", "kept")
+    of_shared = left.join(shared, "_weftlink_k", "left_semi").withColumn("_weftlink_t", F.xxhash64("text"))
+    of_shared = of_shared.join(own.where("NOT kept").select(*on).distinct(), on, "left_anti")
+    repeated = written(own.where("kept AND n > 0").groupBy(*on).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*on), "near-repeated")
+    once = of_shared.join(repeated, on, "left_semi").dropDuplicates(on)
+    rest = of_shared.join(repeated, on, "left_anti")
+    return left.join(shared, "_weftlink_k", "left_anti").drop("_weftlink_k").unionByName(once.unionByName(rest).drop(*on))
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -171,3 +171,66 @@ def test_some_queries_against_sql(spark):
         key = lambda df: sorted(map(repr, (tuple(None if x != x else round(x, 9) if isinstance(x, float) else x for x in r) for r in df[cols].astype(object).itertuples(index=False))))
         assert key(got) == key(want), name
     assert entry.entry(spark).where(F.col("rule").isNotNull()).count() > 0
+
+
+def test_rows_do_not_depend_on_the_columns(spark, tsv):
+    (tsv / "odd.tsv").write_text(HEADER + "S1-1\tA\tx\tUS\nS1-2\nS1-3\tB\ty\tIN\tmore\n", encoding="utf-8")
+    path = str(tsv / "odd.tsv")
+    assert [r["entity_id"] for r in readers.read_delimited(spark, path).collect()] == ["S1-1"]
+    assert [r["entity_id"] for r in readers.read_delimited(spark, path, columns=("entity_id",)).collect()] == ["S1-1"]
+    assert [r["country"] for r in readers.read_delimited(spark, path, columns=("country",)).collect()] == ["US"]
+    assert readers.read_delimited(spark, path).count() == 1
+    assert tuple(readers.malformed_counts(spark, path, 4).first()) == (3, 2)
+
+
+def test_scratch_is_released_by_application(spark):
+    from weftlink.sources import scratch
+
+    other = f"{scratch.scratch_root(spark)}/weftlink/another-application/table"
+    spark.range(3).write.parquet(other)
+    mine = scratch.written(spark.range(5), "mine")
+    assert mine.count() == 5 and spark.sparkContext.applicationId in mine.inputFiles()[0]
+
+
+def test_a_report_is_read_back(spark, tmp_path):
+    from weftlink.plans import summary
+
+    rates = spark.createDataFrame([(50, 0.2, 0.4, 0.5, 0.1)], "n long, exact_raw double, exact_norm double, similar_format double, addr_missing double")
+    rules = spark.createDataFrame(
+        [("exact", "S2", 3, 1, 6, 0.75, 0.3333, 0.4615), ("exact", "Overall", 3, 1, 6, 0.75, 0.3333, 0.4615), ("norm", "S2", 6, 9, 3, 0.4, 0.6667, 0.5), ("norm", "S3", 1, 9, 3, 0.1, 0.25, 0.1429), ("norm", "Overall", 7, 18, 6, 0.28, 0.5385, 0.3684)],
+        "rule string, source string, tp long, fp long, fn long, precision double, recall double, f1 double",
+    )
+    volumes = spark.createDataFrame([("all", 100, 0.0), ("country", 40, 0.6)], "blocking string, pairs long, reduction double")
+    brackets = spark.createDataFrame([("name_jw", "< 0.70", 5, 10.0)], "field string, bracket string, n long, pct double")
+    text = report.baseline_report(volumes, rules, rates, {"name_jw": rates}, brackets, rates)
+    found = summary.parse_report(text)
+    assert found["Sample of true matches"] == {"n": 50, "exact_raw": 0.2, "exact_norm": 0.4, "similar_format": 0.5, "addr_missing": 0.1}
+    assert {(r["rule"], r["source"]): (r["tp"], r["fp"], r["fn"], r["f1"]) for r in found["Rules against the ground truth"]} == {(r["rule"], r["source"]): (r["tp"], r["fp"], r["fn"], r["f1"]) for r in rules.collect()}
+    assert found["Brackets"] == [{"field": "name_jw", "bracket": "< 0.70", "n": 5, "pct": 10.0}] and "best rule" in " ".join(found["Findings"])
+    sample = spark.createDataFrame([("a", True, 0.5, False), ("b", False, 1.0, True)], "s1_id string, exact_raw boolean, name_jw double, addr_missing boolean")
+    sample.coalesce(1).write.option("header", True).csv(f"{tmp_path}/sample")
+    back = summary.read_sample(spark, f"{tmp_path}/sample")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sample.collect())) and dict(back.dtypes)["exact_raw"] == "boolean"
+    out = summary.summarise(spark, text, f"{tmp_path}/sample", f"{tmp_path}/out.txt")
+    assert "norm proposes more wrong pairs" in out and "exact misses more right pairs" in out and "50.00% of the sampled matches have equal raw names" in out
+    assert "norm does worse on S3" in out and (tmp_path / "out.txt").read_text() == out
+    values = spark.createDataFrame([("Yes",), (" 1",), ("no",), (None,), ("2.5",), ("x",)], "v string").select(summary.to_bool("v"), summary.to_float("v")).collect()
+    assert [tuple(r) for r in values] == [(True, None), (True, 1.0), (False, None), (False, None), (False, 2.5), (False, None)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from weftlink.__main__ import main
+
+    rows = {s: [(f"{s}-{i}", f"Acme {i} Ltd", f"{i} Main St", "US" if i % 2 else "India") for i in range(1, 9)] for s in ("S1", "S2", "S3")}
+    for s, name in (("S1", "source_1"), ("S2", "source_2"), ("S3", "source_3")):
+        (tmp_path / "train").mkdir(exist_ok=True)
+        (tmp_path / f"train/{name}.tsv").write_text(HEADER + "".join("\t".join(r) + "\n" for r in rows[s]), encoding="utf-8")
+    (tmp_path / "train/ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\tS2-{i},S3-{i}\n" for i in range(1, 7)) + "S1-7\tS2-70\nS1-8\t\n")
+    assert main(["profile", "--data", str(tmp_path), "--out", f"{tmp_path}/profile.txt"]) == 0
+    assert main(["baseline", "--data", str(tmp_path), "--out", f"{tmp_path}/base"]) == 0
+    assert main(["summary", "--report", f"{tmp_path}/base/baseline_analysis.txt", "--sample", f"{tmp_path}/base/true_match_sample"]) == 0
+    assert main(["train", "--data", str(tmp_path), "--out", f"{tmp_path}/shards", "--summary", f"{tmp_path}/train.txt"]) == 0
+    assert main(["pilot", "--data", str(tmp_path), "--records", "8", "--out", f"{tmp_path}/pilot", "--summary", f"{tmp_path}/pilot.txt"]) == 0
+    shown = capsys.readouterr().out
+    assert "Profile of ground truth" in shown and "Failure patterns" in shown and "distinct names" in (tmp_path / "pilot.txt").read_text()
+    assert "matches without a record, S2            " in (tmp_path / "pilot.txt").read_text()

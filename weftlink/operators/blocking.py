@@ -105,12 +105,13 @@ def reduction_ratio(n: Column, pairs: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(1.0 - F.least(pairs, every) / every)
 
 
-def tier_pairs(s1: DataFrame, secondary: DataFrame, prefix_len: int = PREFIX_LEN, min_token_len: int = TOKEN_LEN, stopwords: Iterable[str] | None = None) -> DataFrame:
+def tier_pairs(s1: DataFrame, secondary: DataFrame, prefix_len: int = PREFIX_LEN, min_token_len: int = TOKEN_LEN, stopwords: Iterable[str] | None = None, tiers: Iterable[int] = (1, 2)) -> DataFrame:
     """``(s1_id, secondary_id, tier)`` of tiers 1 (same name) and 2 (shared prefix or token), within a country.
 
-    Tier 3, the rest of the country, is never made here: ``pairs.top_up`` draws from it what is needed.
+    Only keys of the wanted ``tiers`` are joined: tier 1 alone is an equality join on names. (A pair of tier 1 counts
+    as tier 2 where only that is asked for.) Tier 3, the rest of the country, is never made here: ``pairs.top_up`` draws from it what is needed.
     """
-    keys = (("name", name_key(), 1), ("prefix", prefix_key(prefix_len), 2), ("token", token_keys(min_token_len, stopwords), 2))
+    keys = [k for k in (("name", name_key(), 1), ("prefix", prefix_key(prefix_len), 2), ("token", token_keys(min_token_len, stopwords), 2)) if k[2] in set(tiers)]
 
     def tagged(df: DataFrame, out: str) -> DataFrame:
         def entries(name: str, key: Column, tier: int) -> Column:

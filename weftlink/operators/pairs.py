@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import is_missing
+from ..sources.scratch import small, written
 from .blocking import PREFIX_LEN, TOKEN_LEN, tier_pairs
 
 # How hard a pair is, by tier; positives have a word of their own.
@@ -89,9 +90,9 @@ def top_up(short: DataFrame, secondary: DataFrame, excluded: DataFrame, seed: in
     every = Window.partitionBy("country_norm")
     sizes = sizes.select("country_norm", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.sum("n").over(every).alias("size"))
     inside = Window.partitionBy("country_norm", "part").orderBy("h", "secondary_id")
-    ranked = parts.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(sizes), ["country_norm", "part"]).select("country_norm", "secondary_id", (F.col("rank") + F.col("base")).alias("r"))
+    ranked = parts.withColumn("rank", F.row_number().over(inside) - 1).join(small(sizes), ["country_norm", "part"]).select("country_norm", "secondary_id", (F.col("rank") + F.col("base")).alias("r"))
     slack = excluded.groupBy("s1_id").agg(F.count(F.lit(1)).alias("slack"))
-    asks = short.join(F.broadcast(sizes.select("country_norm", "size").distinct()), "country_norm").join(slack, "s1_id", "left")
+    asks = short.join(small(sizes.select("country_norm", "size").distinct()), "country_norm").join(slack, "s1_id", "left")
     look = F.least(F.col("size"), F.col("lacking") + F.coalesce("slack", F.lit(0)) + 1)  # one more: the record itself may be met
     asks = asks.withColumn("start", F.pmod(F.conv(F.substring(keyed(seed, "s1_id"), 1, 15), 16, 10).cast("long"), F.col("size")))
     asks = asks.select("s1_id", "country_norm", "lacking", "start", "size", F.explode(F.sequence(F.lit(0).cast("long"), look - 1)).alias("j"))
@@ -104,22 +105,34 @@ def top_up(short: DataFrame, secondary: DataFrame, excluded: DataFrame, seed: in
 def negatives(s1: DataFrame, secondary: DataFrame, positives_: DataFrame, matches: DataFrame, ratio: float = 2.0, seed: int | None = 42, singletons: bool = True, prefix_len: int = PREFIX_LEN, min_token_len: int = TOKEN_LEN, stopwords: Iterable[str] | None = None) -> DataFrame:
     """``(s1_id, secondary_id, tier)``: the first ``target`` of each record by tier; in tier 2 pairs whose addresses are
     both there and differ come first. With no seed the order inside a tier is by id. ``matches``: all true pairs."""
-    wanted = wanted_negatives(s1, positives_, ratio, singletons)
     true = matches.select("s1_id", "secondary_id").distinct()
-    near = tier_pairs(s1, secondary, prefix_len, min_token_len, stopwords)
-    usable = near.join(true, ["s1_id", "secondary_id"], "left_anti").join(wanted.where("target > 0").select("s1_id", "target"), "s1_id")
-    if seed is None:
-        order = Window.partitionBy("s1_id").orderBy("tier", "secondary_id")
-    else:
-        usable = _addresses_differ(usable, s1, secondary).withColumn("draw", keyed(seed, "s1_id", "secondary_id"))
-        order = Window.partitionBy("s1_id").orderBy("tier", F.when(F.col("tier") == 2, F.col("preferred")).otherwise(0), "draw", "secondary_id")
-    first = usable.withColumn("n", F.row_number().over(order)).where("n <= target").select("s1_id", "secondary_id", "tier")
-    have = first.groupBy("s1_id").agg(F.count(F.lit(1)).alias("have"))
-    short = wanted.where("country_norm IS NOT NULL").join(have, "s1_id", "left").withColumn("lacking", F.col("target") - F.coalesce("have", F.lit(0))).where("lacking > 0").select("s1_id", "country_norm", "lacking")
-    lacking_ids = short.select("s1_id")
-    excluded = near.select("s1_id", "secondary_id").unionByName(true).distinct().join(lacking_ids, "s1_id", "left_semi")
-    more = top_up(short, secondary, excluded, 0 if seed is None else seed)
-    return first.unionByName(more.withColumn("tier", F.lit(3)))
+    wanted = wanted_negatives(s1, positives_, ratio, singletons).where("target > 0")
+    options = (prefix_len, min_token_len, stopwords)
+
+    def drawn(near: DataFrame, lacking: DataFrame, tier: int) -> DataFrame:
+        """The first ``lacking`` of each record among pairs of a tier that are no match."""
+        usable = near.where(F.col("tier") == tier).join(true, ["s1_id", "secondary_id"], "left_anti").join(lacking.select("s1_id", "lacking"), "s1_id")
+        order = ["secondary_id"]
+        if seed is not None:
+            usable = _addresses_differ(usable, s1, secondary).withColumn("draw", keyed(seed, "s1_id", "secondary_id"))
+            order = [*(["preferred"] if tier == 2 else []), "draw", "secondary_id"]
+        return usable.withColumn("n", F.row_number().over(Window.partitionBy("s1_id").orderBy(*order))).where("n <= lacking").select("s1_id", "secondary_id", "tier")
+
+    def still(lacking: DataFrame, got: DataFrame) -> DataFrame:
+        have = got.groupBy("s1_id").agg(F.count(F.lit(1)).alias("have"))
+        return lacking.join(have, "s1_id", "left").withColumn("lacking", F.col("lacking") - F.coalesce("have", F.lit(0))).where("lacking > 0").select("s1_id", "country_norm", "lacking")
+
+    # Pairs of a tier are made for those records only that the tiers before leave short.
+    every = wanted.select("s1_id", "country_norm", F.col("target").alias("lacking"))
+    first = written(drawn(tier_pairs(s1, secondary, *options, tiers=(1,)), every, 1), "negatives")
+    short = written(still(every, first).where("country_norm IS NOT NULL"), "short")
+    open_ = s1.join(short.select(F.col("s1_id").alias("entity_id")), "entity_id", "left_semi")
+    near = written(tier_pairs(open_, secondary, *options), "near-pairs")
+    second = written(drawn(near, short, 2), "negatives")
+    shorter = still(short, second)
+    excluded = near.select("s1_id", "secondary_id").unionByName(true).distinct().join(shorter.select("s1_id"), "s1_id", "left_semi")
+    more = top_up(shorter, secondary, excluded, 0 if seed is None else seed)
+    return first.unionByName(second).unionByName(more.withColumn("tier", F.lit(3)))
 
 
 def negatives_exact(s1: DataFrame, secondary: DataFrame, positives_: DataFrame, matches: DataFrame, ratio: float = 2.0, singletons: bool = True) -> DataFrame:

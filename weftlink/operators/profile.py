@@ -100,6 +100,14 @@ def match_groups(lines: DataFrame) -> DataFrame:
     return long.groupBy("label").agg(F.count_if("in").alias("n"), F.bround(100 * F.count_if("in") / F.count(F.lit(1)), 2).alias("pct"))
 
 
+def matched_ids(lines: DataFrame) -> DataFrame:
+    """``(source, matches, distinct_ids)``: the secondary ids of a ground-truth table, counted once each."""
+    from .ground_truth import exploded, source_of
+
+    ids = exploded(lines).select(source_of(F.col("secondary_id")).alias("source"), "secondary_id")
+    return ids.groupBy("source").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("secondary_id").alias("distinct_ids"))
+
+
 def co_occurrence(lines: DataFrame) -> DataFrame:
     """``(kind, n)``: records without matches, with matches in one source only, in both."""
     kind = F.when(F.col("n") == 0, "singleton").when((F.col("n_s2") > 0) & (F.col("n_s3") > 0), "both").when(F.col("n_s2") > 0, "s2_only").when(F.col("n_s3") > 0, "s3_only").otherwise("other")

@@ -250,8 +250,11 @@ def _exact_negatives(source: str, n: str) -> str:
 
 _valid_v = _valid("v")
 SQL: dict[str, str] = {
-    "scan_delimited": _raw("SELECT entity_id, business_name, business_address, country FROM raw"),
-    "scan_pruned": _raw("SELECT entity_id, country FROM raw"),
+    "scan_delimited": _raw("SELECT entity_id, business_name, business_address, country FROM raw WHERE key % 7 <> 0"),
+    "scan_pruned": _raw("SELECT entity_id, country FROM raw WHERE key % 7 <> 0"),
+    "scan_malformed": _raw("SELECT count(*) AS lines, count(*) FILTER (WHERE key % 7 = 0) AS malformed FROM raw"),
+    "gt_matched_ids": _er("SELECT source, count(*) AS matches, count(DISTINCT secondary_id) AS distinct_ids FROM gt GROUP BY source"),
+    "pilot_distinct": _er("SELECT count(DISTINCT entity_id) AS ids, count(DISTINCT name_norm) AS names, count(DISTINCT CASE WHEN length(name_norm) >= 5 THEN substr(name_norm, 1, 5) END) AS prefixes, count(DISTINCT country_norm) AS countries FROM s1"),
     "scan_head": _raw("SELECT entity_id, business_name, business_address, country FROM raw ORDER BY entity_id LIMIT 50"),
     "stream_candidates": _er("SELECT a.entity_id AS s1_id, b.entity_id AS secondary_id FROM s1 a JOIN sec b USING (country_norm, name_norm)"),
     "scan_ground_truth": _er("SELECT s1_id, source, secondary_id FROM gt"),
@@ -307,18 +310,18 @@ SQL: dict[str, str] = {
     "audit_leakage": _sp("SELECT s1_id, string_agg(DISTINCT sn, ',' ORDER BY sn) AS splits FROM (SELECT s1_id, CASE WHEN source = 'S3' THEN 'holdout' ELSE split END AS sn FROM sp) GROUP BY 1 HAVING count(DISTINCT sn) > 1"),
     "label_distribution": _sp("SELECT split, label, count(*) AS n FROM sp GROUP BY ALL"),
     "shard_assignment": _sp("SELECT s1_id, secondary_id, split, floor((row_number() OVER (PARTITION BY split ORDER BY substr(md5(s1_id), 1, 2), s1_id, secondary_id) - 1) / 100)::INT AS shard FROM sp"),
-    "pilot_prefilter": _er(""", few AS (SELECT * FROM s1 WHERE key % 4 = 0), f AS (SELECT b.*, b.entity_id IN (SELECT g.secondary_id FROM gt g JOIN few ON few.entity_id = g.s1_id) AS is_true, b.country_norm IN (SELECT country_norm FROM few) AS in_country,
+    "pilot_prefilter": _er(""", few AS (SELECT * FROM s1), f AS (SELECT b.*, b.entity_id IN (SELECT g.secondary_id FROM gt g JOIN few ON few.entity_id = g.s1_id) AS is_true, b.country_norm IN (SELECT country_norm FROM few) AS in_country,
       coalesce(b.name_norm IN (SELECT name_norm FROM few), false) AS in_name, length(b.name_norm) >= 5 AND substr(b.name_norm, 1, 5) IN (SELECT substr(name_norm, 1, 5) FROM few WHERE length(name_norm) >= 5) AS in_prefix FROM sec b WHERE src = 'S2'),
     o AS (SELECT *, NOT is_true AND in_country AND NOT in_name AS is_open FROM f),
     p AS (SELECT *, is_open AND in_prefix AND row_number() OVER (PARTITION BY substr(name_norm, 1, 5), is_open AND in_prefix ORDER BY entity_id) <= 5 AS by_prefix FROM o),
-    c AS (SELECT *, is_open AND NOT by_prefix AND row_number() OVER (PARTITION BY country_norm, is_open AND NOT by_prefix ORDER BY entity_id) <= 20 AS by_country FROM p),
+    c AS (SELECT *, is_open AND NOT by_prefix AND row_number() OVER (PARTITION BY country_norm, is_open AND NOT by_prefix ORDER BY entity_id) <= 15000 AS by_country FROM p),
     k AS (SELECT entity_id, CASE WHEN is_true THEN 'match' WHEN NOT in_country THEN NULL WHEN in_name THEN 'name' WHEN by_prefix THEN 'prefix' WHEN by_country THEN 'country' END AS kept_as FROM c) SELECT * FROM k WHERE kept_as IS NOT NULL"""),
     "confusion_counts": f"WITH {_SCORES} SELECT count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn FROM sc",
     "threshold_sweep": _sweep(THRESHOLDS, 1.0),
     "fbeta": _sweep((0.25,), 2.0),
     **{f"rule_{short}": _rules((rule,)) for short, rule in zip(("exact", "norm", "addr_strict", "addr_tolerant"), RULES)},
     "rules_rollup": _rules(RULES),
-    "true_match_sample": _er("SELECT s1_id, source, secondary_id FROM gt ORDER BY md5('42:' || s1_id || ':' || secondary_id), s1_id, secondary_id LIMIT 100"),
+    "true_match_sample": _er("SELECT s1_id, source, secondary_id FROM gt ORDER BY md5('42:' || s1_id || ':' || secondary_id), s1_id, secondary_id LIMIT 5000"),
     "sample_features": _sample("SELECT * FROM sample"),
     "sample_rates": _sample("""SELECT count(*) AS n, """ + ", ".join(
         f"round_even(coalesce(count(*) FILTER (WHERE {t}) / nullif(count(*) FILTER (WHERE {b}), 0), 0), 9) AS {c}" for c, t, b in (

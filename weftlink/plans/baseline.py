@@ -36,10 +36,11 @@ def run(s1: DataFrame, sources: dict[str, DataFrame], ground_truth: DataFrame, o
     return {"volumes": volumes, "rules": scored, "sample": sample, "rates": rates, "report": text}
 
 
-def profile_all(tables: dict[str, DataFrame], ground_truth: DataFrame | None = None, path: str | None = None) -> str:
-    """Profiles of source tables and the ground truth as one text."""
-    parts = [report.profile_report(name, profile.source_profile(df)) for name, df in tables.items()]
+def profile_all(tables: dict[str, DataFrame], ground_truth: DataFrame | None = None, path: str | None = None, malformed: dict[str, DataFrame] | None = None) -> str:
+    """Profiles of source tables and the ground truth as one text. ``malformed``: see ``readers.malformed_counts``."""
+    bad = lambda name: {"lines": malformed[name]} if malformed and name in malformed else {}
+    parts = [report.profile_report(name, bad(name) | profile.source_profile(df)) for name, df in tables.items()]
     if ground_truth is not None:
-        parts.append(report.profile_report("ground truth", {"totals": profile.ground_truth_profile(ground_truth), "kinds": profile.co_occurrence(ground_truth), "matches": profile.match_groups(ground_truth)}))
+        parts.append(report.profile_report("ground truth", {"totals": profile.ground_truth_profile(ground_truth), "kinds": profile.co_occurrence(ground_truth), "matches": profile.match_groups(ground_truth), "matched ids": profile.matched_ids(ground_truth)}))
     text = "\n".join(parts)
     return writers.write_text(text, path) if path else text

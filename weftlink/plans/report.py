@@ -45,6 +45,11 @@ def training_summary(stats: Row, splits: Sequence[Row], shards: Sequence[Row], a
     return "\n".join(out) + "\n"
 
 
+def pilot_lines(distinct: dict, skipped: dict) -> str:
+    out = _section("Records of the pilot") + [_line(f"distinct {k}", v) for k, v in distinct.items()]
+    return "\n".join(out + [_line(f"matches without a record, {k}", v) for k, v in skipped.items()]) + "\n"
+
+
 def baseline_report(volumes: DataFrame, rules: DataFrame, rates: DataFrame, distributions: dict[str, DataFrame], brackets: DataFrame, disagreements: DataFrame) -> str:
     out = ["Baseline analysis"]
     out += _section("Candidate volumes") + table_lines(volumes.orderBy("pairs", ascending=False))

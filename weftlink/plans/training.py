@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from ..functions.similarity import Weights
 from ..functions.text import normalized
 from ..operators import audit as audits
 from ..operators import features, pairs, splits
+from ..operators.blocking import PREFIX_LEN
 from ..operators.ground_truth import edges as edges_of
 from ..operators.ground_truth import restricted
 from ..schema import SHARD_COLUMNS
@@ -57,16 +57,13 @@ def run(s1: DataFrame, sources: dict[str, DataFrame], edges: DataFrame, output_d
     splits.check_ratios(settings.train, settings.val, settings.holdout)
     if settings.file_format not in writers.FORMATS:
         raise ValueError(f"unknown format {settings.file_format!r}")
-    rows = training_rows(s1, sources, edges, settings).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        found = audits.audit(rows, edges, raw_before, raw_after)
-        if (bad := audits.cross_country(rows).first()) is not None:
-            raise ValueError(f"Cross-country pair: {bad['s1_id']}, {bad['secondary_id']}")
-        shards = writers.write_shards(rows, output_dir, settings.shard_size, settings.file_format, SHARD_COLUMNS).collect()  # a row a shard
-        stats = pairs.pair_stats(rows).first()
-        counts = audits.split_counts(rows).collect()  # a row a split
-    finally:
-        rows.unpersist()
+    rows = written(training_rows(s1, sources, edges, settings), "features")  # a lost executor loses none of them
+    found = audits.audit(rows, edges, raw_before, raw_after)
+    if (bad := audits.cross_country(rows).first()) is not None:
+        raise ValueError(f"Cross-country pair: {bad['s1_id']}, {bad['secondary_id']}")
+    shards = writers.write_shards(rows, output_dir, settings.shard_size, settings.file_format, SHARD_COLUMNS).collect()  # a row a shard
+    stats = pairs.pair_stats(rows).first()
+    counts = audits.split_counts(rows).collect()  # a row a split
     text = report.training_summary(stats, counts, shards, found)
     if summary_path:
         writers.write_text(text, summary_path)
@@ -83,6 +80,17 @@ def pilot(s1: DataFrame, sources: dict[str, DataFrame], ground_truth: DataFrame,
     for source, records in sources.items():
         of = edges.where(F.col("source") == source)
         kept[source] = pairs.prefiltered(left, normalized(records), of).select(*records.columns)
-    out = run(first, kept, edges, output_dir, summary_path, settings)
+    out = run(first, kept, edges, output_dir, None, settings)
     out["skipped"] = {source: pairs.skipped(left, records, edges, source).count() for source, records in kept.items()}
+    out["distinct"] = distinct_counts(left).first().asDict()
+    out["summary"] += report.pilot_lines(out["distinct"], out["skipped"])
+    if summary_path:
+        writers.write_text(out["summary"], summary_path)
     return out
+
+
+def distinct_counts(records: DataFrame, prefix_len: int = PREFIX_LEN) -> DataFrame:
+    """One row: the ids, normalised names, prefixes of names and countries of normalised records."""
+    prefix = F.when(F.length("name_norm") >= prefix_len, F.substring("name_norm", 1, prefix_len))
+    of = lambda c: F.countDistinct(c)
+    return records.agg(of("entity_id").alias("ids"), of("name_norm").alias("names"), of(prefix).alias("prefixes"), of("country_norm").alias("countries"))

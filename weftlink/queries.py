@@ -77,18 +77,28 @@ def truth_lines(s1: DataFrame, secondary: DataFrame) -> DataFrame:
 # Scans and sinks
 
 
+def _delimited(spark: SparkSession, d: str) -> str:
+    """Path of the records as delimited text, with lines of another width for every seventh key (one field or five)."""
+    path, df, key = scratch_path(spark, "records-tsv"), records(spark, d), F.col("key")
+    line = F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in SOURCE.names])
+    line = F.when(key % 14 == 0, F.concat(line, F.lit("\tx"))).when(key % 7 == 0, F.col("entity_id")).otherwise(line)
+    df.select(line.alias("\t".join(SOURCE.names))).write.option("sep", "\x01").option("quote", "").option("header", True).csv(path)
+    return path
+
+
 @query
 def scan_delimited(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "records-tsv")
-    records(spark, d).select(*SOURCE.names).write.option("sep", "\t").option("header", True).csv(path)
-    return readers.read_records(spark, path)
+    return readers.read_records(spark, _delimited(spark, d))
 
 
 @query
 def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "records-tsv")
-    records(spark, d).select(*SOURCE.names).write.option("sep", "\t").option("header", True).csv(path)
-    return readers.read_delimited(spark, path, columns=("entity_id", "country"), pattern="*.csv")
+    return readers.read_delimited(spark, _delimited(spark, d), columns=("entity_id", "country"), pattern="*.csv")
+
+
+@query
+def scan_malformed(spark: SparkSession, d: str) -> DataFrame:
+    return readers.malformed_counts(spark, _delimited(spark, d), len(SOURCE.names))
 
 
 @query
@@ -301,7 +311,7 @@ def composite_sim(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pair_features_26(spark: SparkSession, d: str) -> DataFrame:
     s1, _, sec = sides(spark, d)
-    exact = blocking.tier_pairs(s1, sec).where("tier = 1").select("s1_id", "secondary_id")
+    exact = blocking.tier_pairs(s1, sec, tiers=(1,)).select("s1_id", "secondary_id")
     return features.pair_features(features.joined_records(exact, s1, sec)).select("s1_id", "secondary_id", *features.FEATURES)
 
 
@@ -317,7 +327,7 @@ def gt_explode(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gt_membership(spark: SparkSession, d: str) -> DataFrame:
     s1, _, sec = sides(spark, d)
-    exact = blocking.tier_pairs(s1, sec).where("tier = 1").select("s1_id", "secondary_id")
+    exact = blocking.tier_pairs(s1, sec, tiers=(1,)).select("s1_id", "secondary_id")
     return ground_truth.labelled(exact, truth(s1, sec))
 
 
@@ -369,7 +379,7 @@ def grouped_split(spark: SparkSession, d: str) -> DataFrame:
 def _split_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of equal names, labelled and split."""
     s1, _, sec = sides(spark, d)
-    found = blocking.tier_pairs(s1, sec).where("tier = 1").select("s1_id", "secondary_id")
+    found = blocking.tier_pairs(s1, sec, tiers=(1,)).select("s1_id", "secondary_id")
     labelled = ground_truth.labelled(found, truth(s1, sec)).select("s1_id", "secondary_id", F.substring("secondary_id", 1, 2).alias("source"), F.col("is_match").cast("int").alias("label"))
     return splits.with_split(labelled, splits.grouped_split(s1.select(F.col("entity_id").alias("s1_id"))))
 
@@ -485,7 +495,7 @@ def rules_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def true_match_sample(spark: SparkSession, d: str) -> DataFrame:
     s1, _, sec = sides(spark, d)
-    return pairs.true_match_sample(truth(s1, sec), 100)
+    return pairs.true_match_sample(truth(s1, sec))
 
 
 def _sample(spark: SparkSession, d: str) -> DataFrame:
@@ -565,6 +575,17 @@ def gt_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.ground_truth_profile(truth_lines(s1, sec))
 
 
+@query
+def gt_matched_ids(spark: SparkSession, d: str) -> DataFrame:
+    s1, _, sec = sides(spark, d)
+    return profile.matched_ids(truth_lines(s1, sec))
+
+
+@query
+def pilot_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return training.distinct_counts(sides(spark, d)[0])
+
+
 @query
 def gt_match_histogram(spark: SparkSession, d: str) -> DataFrame:
     s1, _, sec = sides(spark, d)

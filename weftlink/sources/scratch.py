@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -21,7 +22,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/weftlink/{label}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    """The folder of this application's tables: others may share the root."""
+    return f"{scratch_root(spark)}/weftlink/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -31,7 +37,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Mark ``df`` for broadcast if a count shows that it is small; else leave the join to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def release(spark: SparkSession) -> bool:
-    """Delete all intermediate tables of the scratch folder (results that were not written elsewhere become unreadable)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/weftlink")
+    """Delete this application's intermediate tables (results that were not written elsewhere become unreadable)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

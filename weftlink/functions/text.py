@@ -133,7 +133,7 @@ def legal_forms(c: Column | str) -> Column:
     """Spellings of legal forms become their tokens, one spelling after another in the fixed order."""
     out = _col(c)
     for token, variants in LEGAL_FORMS.items():
-        for variant in sorted(variants, key=len, reverse=True):
+        for variant in variants:
             out = _spelled(out, variant, token)
     return out
 

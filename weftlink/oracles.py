@@ -54,7 +54,7 @@ def _steps(name: str, source: str, column: str, swaps: list[tuple[str, str]], be
     return ",\n".join(out)
 
 
-_forms = [(v, token) for token, variants in LEGAL_FORMS.items() for v in sorted(variants, key=len, reverse=True)]
+_forms = [(v, token) for token, variants in LEGAL_FORMS.items() for v in variants]
 _streets = list(STREET_WORDS.items())
 _country = "CASE " + " ".join(f"WHEN lower(country) = {_text(k)} THEN {_text(v)}" for k, v in COUNTRIES.items()) + " ELSE upper(country) END"
 _RAW = f"""raw AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS entity_id,

@@ -40,7 +40,7 @@ FAN, MOST_ITEMS = 8, 200_000
 #: Share of the capacity from which a sequence is emitted, by round; the last one holds for later rounds too.
 FULL = (0.998, 0.99, 0.97)
 #: Words and pieces of words whose ids a worker keeps (in two generations of so many: the older one goes when the newer is full).
-CACHED = 300_000
+CACHED = 200_000
 
 # What the tokenizer file's pattern does to lower-case words of Latin letters; other words go to it whole.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")

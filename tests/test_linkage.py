@@ -294,3 +294,52 @@ def test_registered_prefilter_takes_every_s1_record(spark, tmp_path):
     got = {r["entity_id"]: r["kept_as"] for r in queries.pilot_prefilter(spark, str(tmp_path)).collect()}
     # 3 is in India, 6 and 12 in the US, none in France; 36 records of the US have no other claim than their country.
     assert got == {f"S2-{k}": "match" if k == 13 else "country" for k in keys[3:] if k % 5 != 4}
+
+
+def _clones(spark, n=40, prefix="S"):
+    """Records of few names, many alike, some repeated with another name and some without country or name."""
+    words = ["amber quay", "amber kiln ltd", "birch quay", "cedar loft", "cedarwood inn", "x"]
+    rows = [(f"{prefix}{i % (n - 4)}", None if i % 11 == 10 else words[i * i % len(words)], None if i % 13 == 12 else ["DK", "SE"][i % 2]) for i in range(n)]
+    return recs(spark, rows)
+
+
+def _plan_rows(spark, make):
+    """The result of ``make`` and the most rows that a join in its plan gave."""
+    df = make()
+    got = [tuple(r) for r in df.collect()]
+    most, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return got, most
+
+
+def test_counts_of_pairs_without_the_pairs(spark):
+    """Counts equal those of the pairs, also where ids repeat or are on both sides; no join makes the pairs."""
+    a, b = _clones(spark).cache(), _clones(spark, 60, "S").cache()
+    least = lambda rows, key: {k: (len(v), min(v), max(v)) for k in {key(r) for r in rows} for v in [[r[1] for r in rows if key(r) == k]]}
+    for strategy in ("name", "prefix", "tokens"):
+        items = lambda df: {(r[1], r[0]) for r in blocking.block_index(df, strategy).select("block_key", "entity_id").collect()}
+        want = {(x, y) for x, k in items(a) for y, m in items(b) if k == m and x != y}
+        pairs_ = [tuple(r) for r in blocking.candidates_of(a, blocking.block_index(b, strategy), strategy).collect()]
+        assert len(pairs_) == len(set(pairs_)) and set(pairs_) == want
+        assert {r[0]: tuple(r[1:]) for r in blocking.candidate_counts(a, b, strategy).collect()} == least(want, lambda r: r[0])
+    made = [tuple(r) for r in blocking.tier_pairs(a, b).collect()]
+    assert len(made) == len({r[:2] for r in made}) and all(x != y for x, y, _ in made)
+    want = least(made, lambda r: (r[0], r[2]))
+    assert {(r["s1_id"], r["tier"]): (r["n"], r["first"]) for r in blocking.tier_counts(a, b).collect()} == {k: v[:2] for k, v in want.items()}
+    for options in ({}, {"use_prefix": True, "use_tokens": True}, {"use_country": False, "use_tokens": True}, {"use_exact_name": False}):
+        want = least([tuple(r) for r in blocking.candidate_pairs(a, **options).collect()], lambda r: r[0])
+        assert {r["id_a"]: (r["n"], r["first"]) for r in blocking.candidate_pair_counts(a, **options).collect()} == {k: v[:2] for k, v in want.items()}
+    many = recs(spark, [(f"S{i % 2}-{i}", "amber quay", "DK") for i in range(600)]).cache()
+    one, two = many.where("entity_id LIKE 'S0%'").cache(), many.where("entity_id LIKE 'S1%'").cache()
+    for make in (lambda: blocking.tier_counts(one, two), lambda: blocking.candidate_counts(one, two, "tokens"), lambda: blocking.candidate_pair_counts(many, use_tokens=True)):
+        got, most = _plan_rows(spark, make)
+        assert len(got) in (300, 599) and most <= 600

@@ -79,7 +79,7 @@ def pilot(s1: DataFrame, sources: dict[str, DataFrame], ground_truth: DataFrame,
     kept = {}
     for source, records in sources.items():
         of = edges.where(F.col("source") == source)
-        kept[source] = pairs.prefiltered(left, normalized(records), of).select(*records.columns)
+        kept[source] = written(pairs.prefiltered(left, normalized(records), of).select(*records.columns), "prefiltered")
     out = run(first, kept, edges, output_dir, None, settings)
     out["skipped"] = {source: pairs.skipped(left, records, edges, source).count() for source, records in kept.items()}
     out["distinct"] = distinct_counts(left).first().asDict()

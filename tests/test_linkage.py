@@ -367,3 +367,12 @@ def test_negatives_counted_without_the_pairs(spark):
         got = members.join(cells, "cell").collect()
         assert {(r["s1_id"], t, r[f"n_{t}"]) for r in got for t in (1, 2, 3) if r[f"n_{t}"]} == {tuple(r) for r in want.collect()}
         assert sum(r["records"] for r in cells.collect()) == 6
+
+
+def test_features_of_kinds_equal_those_of_pairs(spark):
+    s1 = recs(spark, [("S1-A", "Wren Mills", "US", "3 Elm St"), ("S1-B", "Wren Mills", "US", "3 Elm St"), ("S1-C", "wren mills", "US", None), ("S1-X", "Wren Mills", "US", "9 Oak Rd")])
+    sec = recs(spark, [("S2-A", "Wren Mills", "USA", "4 Elm St"), ("S2-B", "Wren Mills", "USA", "4 Elm St"), ("S3-A", "WREN MILLS", "US", None), ("S1-X", "Wren Mills", "US", "9 Oak Rd"), ("S2-C", "Wren Mills", "IN", "x")])
+    met = blocking.tier_pairs(s1, sec, tiers=(1,)).select("s1_id", "secondary_id")
+    want = features.pair_features(features.joined_records(met, s1, sec)).select("s1_id", "secondary_id", *FEATURES).collect()
+    got = features.exact_name_features(s1, sec).collect()
+    assert len(got) == 15 and sorted(map(tuple, got)) == sorted(map(tuple, want))

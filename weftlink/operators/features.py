@@ -9,6 +9,8 @@ from ..functions import similarity as sim
 from ..functions.similarity import Weights
 from ..functions.text import is_missing, safe_field
 from ..schema import FEATURES
+from ..sources.scratch import written
+from .blocking import MEMBERS
 
 _RECORD = ("entity_id", "business_name", "business_address", "name_norm", "addr_norm", "country_norm")
 
@@ -72,3 +74,26 @@ def pair_features(joined: DataFrame, weights: Weights = Weights(), variant: str
     kinds = dict(df.dtypes)
     kept = [c for c in joined.columns if c not in FEATURES]
     return df.select(*kept, *[F.bround(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in FEATURES])
+
+
+def exact_name_features(s1: DataFrame, secondary: DataFrame, weights: Weights = Weights(), variant: str = "gated") -> DataFrame:
+    """``(s1_id, secondary_id, features)`` of all pairs with one name and country (tier 1).
+
+    Records with the same texts are a kind: pairs of kinds are scored, and scores are given to the pairs of their ids,
+    which are neither shuffled nor sorted.
+    """
+    texts = [c for c in _RECORD if c != "entity_id"]
+
+    def kinds(records: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
+        each = records.where("name_norm IS NOT NULL AND country_norm IS NOT NULL").withColumn("kind", F.md5(F.to_json(F.struct(*texts)))).select("kind", "entity_id", *texts)
+        sizes = each.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("n_lists"), *[F.any_value(c).alias(c) for c in texts])
+        sizes = written(sizes, "kinds")
+        dealt = each.select("kind", "entity_id").join(sizes.select("kind", "n_lists"), "kind").groupBy("kind", F.pmod(F.xxhash64("entity_id"), "n_lists").alias("list"))
+        lists = written(dealt.agg(F.collect_set("entity_id").alias(f"{p}_ids")).select(F.col("kind").alias(f"{p}_kind"), f"{p}_ids"), "lists")
+        return sizes.select(F.col("kind").alias(f"{p}_kind"), *[F.col(c).alias(f"{p}_{c}") for c in texts]), lists
+
+    (left, left_ids), (right, right_ids) = kinds(s1, "a"), kinds(secondary, "b")
+    met = written(left.join(right, (F.col("a_name_norm") == F.col("b_name_norm")) & (F.col("a_country_norm") == F.col("b_country_norm"))), "kind-pairs")
+    scored = written(pair_features(met, weights, variant).select("a_kind", "b_kind", *FEATURES), "scored")
+    out = scored.join(left_ids, "a_kind").join(right_ids, "b_kind").select(F.explode("a_ids").alias("s1_id"), "b_ids", *FEATURES)
+    return out.select("s1_id", F.explode("b_ids").alias("secondary_id"), *FEATURES).where("s1_id <> secondary_id")

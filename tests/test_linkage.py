@@ -379,6 +379,8 @@ def test_features_of_kinds_equal_those_of_pairs(spark):
 
 
 def test_seeded_pairs_of_grouped_edges(spark):
+    import hashlib
+
     s1, s2 = recs(spark, [("S1-A", "Plover Dyes", "US")]), recs(spark, [(f"S2-{i}", "Plover Dyes", "US") for i in range(6)])
     edges, _ = ground_truth.from_dict(spark, {"S1-A": ["S2-4"]})
     got = pairs.labelled_pairs(s1, {"S2": s2}, ground_truth.grouped(edges), 2.0, 42).collect()

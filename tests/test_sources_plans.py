@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,35 @@ def test_shards(spark, tmp_path, kind):
         writers.write_shards(df, str(tmp_path / "bad"), 5, "xml")
 
 
+@pytest.mark.parametrize("kind", ["parquet", "tsv"])
+def test_listed_shards_are_those_of_the_pairs(spark, tmp_path, monkeypatch, kind):
+    """Lists are cut into pieces and tasks, records share lists: shards, rows and files are those of the pairs."""
+    monkeypatch.setattr(writers, "PIECE", 4)
+    monkeypatch.setattr(writers, "CHUNK", 9)
+    columns = ("s1_id", "secondary_id", "label")
+    members = spark.createDataFrame([(f"S1-{i}", "val" if i % 5 == 0 else "train", "long" if i % 3 else "short") for i in range(40)] + [("S1-x", "val", "none")], "s1_id string, split string, list string")
+    items = spark.createDataFrame([("long", f"S2-{i}", i % 2) for i in range(13)] + [("short", "S3-7", None)], "list string, secondary_id string, label int")
+    found = writers.write_listed_shards(members, items, str(tmp_path / "out"), 7, kind, columns).collect()
+    want = writers.shard_numbers(members.join(items, "list"), 7).select("split", "shard", *columns).collect()
+    back = spark.read.format("parquet" if kind == "parquet" else "csv").option("header", True).option("sep", "\t").load(str(tmp_path / "out"))
+    back = back.withColumn("shard", F.regexp_extract(F.input_file_name(), r"_part_(\d+)", 1).cast("int")) if kind == "parquet" else back
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert text(back.select("split", "shard", *columns).collect()) == text(want) and len(want) == 26 * 13 + 14
+    assert {(r["split"], r["shard"]): r["rows"] for r in found} == {k: sum((r["split"], r["shard"]) == k for r in want) for k in {(r["split"], r["shard"]) for r in want}}
+    assert len(list((tmp_path / "out").glob("split=*/**/*part*[tv]"))) == len(found)
+
+
+def test_shard_kernel(tmp_path):
+    """Shards that go on in a next batch, a run that is repeated, and a split that no folder could be named after."""
+    batch = lambda shards, split: pa.RecordBatch.from_pydict({"n": list(range(len(shards))), "split": pa.array([split] * len(shards), pa.string()), "shard": pa.array(shards, pa.int32())})
+    for _ in range(2):
+        out = writers.shard_writer(str(tmp_path), ["n"])(iter([batch([0, 0, 1], "a/b"), batch([], "a/b"), batch([1, 1], "a/b"), batch([0], None)]))
+        assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [("a/b", 0, 2), ("a/b", 1, 3), (None, 0, 1)]
+    files = sorted(p for p in tmp_path.rglob("*") if p.is_file())
+    assert [str(f.relative_to(tmp_path)) for f in files] == [writers.shard_file(*x) for x in (("__HIVE_DEFAULT_PARTITION__", 0), ("a%2Fb", 0), ("a%2Fb", 1))]
+    assert [pq.read_table(f, partitioning=None).num_rows for f in files] == [1, 2, 3]
+
+
 RAW = "entity_id string, business_name string, business_address string, country string"
 
 

@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftlink import queries
+from weftlink.functions import draws
 from weftlink.functions.text import normalized
 from weftlink.operators import audit, blocking, evaluate, features, ground_truth, pairs, profile, rules, splits, stats, validate
 from weftlink.schema import FEATURES, SHARD_COLUMNS
@@ -386,3 +388,37 @@ def test_seeded_pairs_of_grouped_edges(spark):
     got = pairs.labelled_pairs(s1, {"S2": s2}, ground_truth.grouped(edges), 2.0, 42).collect()
     draw = sorted((i for i in range(6) if i != 4), key=lambda i: hashlib.md5(f"42:S1-A:S2-{i}".encode()).hexdigest())
     assert {(r["secondary_id"], r["label"]) for r in got} == {("S2-4", 1), *((f"S2-{i}", 0) for i in draw[:2])}
+
+
+def test_draws_against_hashlib():
+    """Ids of all lengths (a message may be longer than a block), missing and equal addresses, all or few taken."""
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    for n, low, high in ((9, 1, 45), (300, 6, 9), (17_000, 7, 8)):
+        items = sorted({"é" * rng.randint(0, 1) + "".join(rng.choices("abc0123456789-", k=rng.randint(low, high))) for _ in range(n)})
+        at = [rng.choice([None, "x", "y"]) for _ in items]
+        records = [f"S1-{rng.randint(1, 10 ** rng.randint(1, 7))}" for _ in range(5)]
+        k, own = [rng.randint(1, len(items)) for _ in records], [rng.choice([None, "x", "q"]) for _ in records]
+        for r, take, mine, got in zip(records, k, own, draws.drawn(42, records, k, own, items, pa.array(at, pa.string()))):
+            order = sorted((not (mine and a and a != mine), hashlib.md5(f"42:{r}:{x}".encode()).digest(), i) for i, (a, x) in enumerate(zip(at, items)))
+            assert sorted(got.tolist()) == sorted(i for _, _, i in order[:take])
+
+
+def test_draws_in_blocks(spark, monkeypatch):
+    s1, s2 = recs(spark, [(f"S1-{i}", "Gannet Tiles", "US") for i in range(9)]), recs(spark, [(f"S2-{i}", "Gannet Tiles", "US") for i in range(8)])
+    none = ground_truth.from_pairs(spark, [("S1-x", "S2-x")])
+    want = pairs.negatives(s1, s2, pairs.positives(s1, s2, none, "S2"), none, 1.0, 7).collect()
+    monkeypatch.setattr(pairs, "DRAWS", 16)
+    assert sorted(pairs.negatives(s1, s2, pairs.positives(s1, s2, none, "S2"), none, 1.0, 7).collect()) == sorted(want) and len(want) == 9
+
+
+def test_features_of_chosen_pairs_equal_those_of_joined_records(spark):
+    s1 = recs(spark, [("S1-A", "Wren Mills", "US", "3 Elm St"), ("S1-B", "Wren Mills", "US", "3 Elm St"), ("S1-C", "wren mills", "US", None)])
+    sec = recs(spark, [("S2-A", "Wren Mills", "USA", "4 Elm St"), ("S2-B", "Wren Mills", "USA", "4 Elm St"), ("S3-A", "WREN WORKS", "US", None)])
+    chosen = spark.createDataFrame([("S1-A", "S2-A", 1, "val"), ("S1-B", "S2-B", 0, "train"), ("S1-C", "S3-A", 0, "train"), ("S1-B", "S3-A", 0, "train"), ("S1-B", "S9-x", 0, "train")], "s1_id string, secondary_id string, label int, split string")
+    want = features.pair_features(features.joined_records(chosen, s1, sec))
+    got = features.chosen_features(chosen, s1, sec)
+    key = lambda r: (r["s1_id"], r["secondary_id"])
+    assert got.dtypes == want.dtypes and sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.count() == 4

@@ -9,8 +9,8 @@ from ..functions import similarity as sim
 from ..functions.similarity import Weights
 from ..functions.text import is_missing, safe_field
 from ..schema import FEATURES
-from ..sources.scratch import written
-from .blocking import MEMBERS
+from ..sources.scratch import small, written
+from .blocking import BROADCAST_IDS, MEMBERS
 
 _RECORD = ("entity_id", "business_name", "business_address", "name_norm", "addr_norm", "country_norm")
 
@@ -97,3 +97,23 @@ def exact_name_features(s1: DataFrame, secondary: DataFrame, weights: Weights =
     scored = written(pair_features(met, weights, variant).select("a_kind", "b_kind", *FEATURES), "scored")
     out = scored.join(left_ids, "a_kind").join(right_ids, "b_kind").select(F.explode("a_ids").alias("s1_id"), "b_ids", *FEATURES)
     return out.select("s1_id", F.explode("b_ids").alias("secondary_id"), *FEATURES).where("s1_id <> secondary_id")
+
+
+def chosen_features(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: Weights = Weights(), variant: str = "gated") -> DataFrame:
+    """``pair_features`` of ``joined_records``: records with the same texts are a kind, and the pairs of kinds that occur
+    among ``pairs`` are scored once. Pairs are shuffled with their ids alone (and not for their kinds where ids are few)."""
+    texts = [c for c in _RECORD if c != "entity_id"]
+
+    def kinds(records: DataFrame, p: str, key: str) -> tuple[DataFrame, DataFrame]:
+        each = records.select(F.col("entity_id").alias(key), F.md5(F.to_json(F.struct(*texts))).alias("_texts"), *texts)
+        table = each.groupBy("_texts").agg(*[F.any_value(c).alias(f"{p}_{c}") for c in texts])
+        table = written(table.withColumn(f"{p}_kind", F.monotonically_increasing_id()), "kinds")
+        ids = written(each.select(key, "_texts").join(table.select("_texts", f"{p}_kind"), "_texts").drop("_texts"), "kind-ids")
+        return table.drop("_texts"), small(ids, BROADCAST_IDS)
+
+    (left, left_ids), (right, right_ids) = kinds(left, "a", "s1_id"), kinds(right, "b", "secondary_id")
+    met = pairs.join(left_ids, "s1_id").join(right_ids, "secondary_id")
+    unique = written(met.select("a_kind", "b_kind").distinct(), "kind-pairs")
+    scored = written(pair_features(unique.join(left, "a_kind").join(right, "b_kind"), weights, variant), "scored")
+    kept = ["secondary_id", *[c for c in ("s1_id", *pairs.columns) if c != "secondary_id"]]
+    return met.join(scored, ["a_kind", "b_kind"]).select(*dict.fromkeys(kept), *[f"{p}_{c}" for p in "ab" for c in texts], *FEATURES)

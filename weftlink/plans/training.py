@@ -11,12 +11,12 @@ from ..functions.similarity import Weights
 from ..functions.text import normalized
 from ..operators import audit as audits
 from ..operators import features, pairs, splits
-from ..operators.blocking import PREFIX_LEN
+from ..operators.blocking import BROADCAST_IDS, PREFIX_LEN
 from ..operators.ground_truth import edges as edges_of
 from ..operators.ground_truth import restricted
 from ..schema import SHARD_COLUMNS
 from ..sources import readers, writers
-from ..sources.scratch import written
+from ..sources.scratch import small, written
 from . import report
 
 
@@ -39,7 +39,7 @@ def feature_rows(pairs_: DataFrame, s1: DataFrame, sources: dict[str, DataFrame]
     for source, records in sources.items():
         part = pairs.one_record_each(records).withColumn("_source", F.lit(source))
         every = part if every is None else every.unionByName(part)
-    return features.pair_features(features.joined_records(pairs_, s1, every), weights)
+    return features.chosen_features(pairs_, s1, every, weights)
 
 
 def training_rows(s1: DataFrame, sources: dict[str, DataFrame], edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -49,7 +49,7 @@ def training_rows(s1: DataFrame, sources: dict[str, DataFrame], edges: DataFrame
     right = {k: written(pairs.one_record_each(normalized(v)), "secondary") for k, v in sources.items()}
     labelled = written(pairs.labelled_pairs(left, right, edges, settings.neg_ratio, settings.seed, settings.singletons), "pairs")
     split = splits.grouped_split(left.select(F.col("entity_id").alias("s1_id")), settings.train, settings.val, settings.holdout, settings.seed or 0)
-    return feature_rows(splits.with_split(labelled, split), left, right, settings.weights)
+    return feature_rows(splits.with_split(labelled, small(written(split, "split"), BROADCAST_IDS)), left, right, settings.weights)
 
 
 def run(s1: DataFrame, sources: dict[str, DataFrame], edges: DataFrame, output_dir: str, summary_path: str | None = None, settings: Settings = Settings(), raw_before: dict[str, str] | None = None, raw_after: dict[str, str] | None = None) -> dict:
